@@ -13,11 +13,12 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 #: Parts kept per Python worker; beyond it the table starts anew. About 150 bytes each.
-KEPT_PARTS = 500_000
+KEPT_PARTS = 1_800_000
 
 #: Longer texts are encoded a segment at a time.
 SEGMENT = 1 << 20
@@ -29,6 +30,8 @@ _CUT_LOWER = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_BLANK}
 _CUT_SPACED = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_BLANK}{_LETTERS}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
+#: Stands between plain parts or pieces, which cannot hold it.
+_JOINT = "\u2016"
 _TWO_BLANKS = re.compile(r"\s\s")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -65,6 +68,7 @@ class PieceEncoder:
         self.lower = spec["normalizer"] is not None
         self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         self.letters = _byte_letters()
+        self.joint = _JOINT.encode().decode("latin-1").translate(self.letters)
         self.dtype = np.dtype(dtype)
         self.known: dict[str, bytes] = {}
 
@@ -74,16 +78,18 @@ class PieceEncoder:
         return self._encode(texts)
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split = self._split_lower if self.lower else self._split_spaced
+        if len(self.known) > KEPT_PARTS:
+            self.known.clear()
+        split, get, learn = self._split_lower if self.lower else self._split_spaced, self.known.get, set()
         parts = [split(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > KEPT_PARTS:
-            known.clear()
-        missing = {p for own in parts for p in own if p not in known}
-        if missing:
-            self._learn(list(missing))
-        get = known.__getitem__
-        return [b"".join(map(get, own)) for own in parts]
+        found = [list(map(get, own)) for own in parts]
+        short = [None in own for own in found]
+        for own, got, some in zip(parts, found, short, strict=True):
+            if some:
+                learn.update([p for p, ids in zip(own, got, strict=True) if ids is None])
+        if learn:
+            self._learn(list(learn))
+        return [b"".join(map(get, own) if some else got) for own, got, some in zip(parts, found, short, strict=True)]
 
     @staticmethod
     def _split_lower(text: str) -> list[str]:
@@ -91,34 +97,52 @@ class PieceEncoder:
 
     @staticmethod
     def _split_spaced(text: str) -> list[str]:
+        """Parts, without the blank before each but the first. The first is marked by a blank, which no other has."""
         if _TWO_BLANKS.search(text) or text[0].isspace() or text[-1].isspace():
-            return _BEFORE_BLANK.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[0] == "\n" else f" {p}" for p in rest]]
+            first, *rest = _BEFORE_BLANK.split(text)
+            return [f" {first}", *[p[1:] if p[0] == " " else p for p in rest]]
+        parts = text.replace("\n", " \n").split(" ")
+        parts[0] = f" {parts[0]}"
+        return parts
+
+    def _literal(self, part: str) -> str:
+        if self.lower or part[0] == "\n":
+            return part
+        return part[1:] if part[0] == " " else f" {part}"
 
     def _learn(self, parts: list[str]) -> None:
-        plain, pieces, owner, odd = _PLAIN.fullmatch, [], [], []
-        letters, cut = self.letters, (_CUT_LOWER if self.lower else _CUT_SPACED).findall
-        for p in parts:
-            if not plain(p):
-                odd.append(p)
-                continue
-            for piece in cut(p.lower() if self.lower else p):
-                pieces.append(piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(letters))
-                owner.append(p)
-        known, dtype = self.known, self.dtype
-        known.update((p, b"") for p in parts)
+        known, match = self.known, _PLAIN.fullmatch
+        plain = [p for p in parts if p.isascii() or match(p)]
+        if len(plain) < len(parts):
+            odd = list(set(parts).difference(plain))
+            got = self.whole.encode_batch_fast([self._literal(p) for p in odd], add_special_tokens=False)
+            known.update((p, np.array(x.ids, self.dtype).tobytes()) for p, x in zip(odd, got, strict=True))
+        if not plain:
+            return
+        alpha = [p for p in plain if p.isalpha()]  # a piece of its own, with the blank that may go before it
+        mixed = [p for p in plain if not p.isalpha()]
+        if self.lower:
+            spelt = _JOINT.join(alpha).lower().split(_JOINT) if alpha else []
+            cuts = list(map(_CUT_LOWER.findall, map(str.lower, mixed)))
+        else:
+            spelt = [f" {p}" for p in alpha]
+            cuts = list(map(_CUT_SPACED.findall, map(self._literal, mixed)))
+        pieces = set(chain.from_iterable(cuts))
+        skip = 0 if self.lower else 1
+        of = {x: ids for x in pieces if (skip == 0 or x[0] == " ") and x[skip:].isalpha() and (ids := known.get(x[skip:])) is not None}
+        pieces = list(pieces.difference(of).union(spelt))
         if pieces:
-            got = self.model.encode_batch([pieces], is_pretokenized=True, add_special_tokens=False)[0]
-            ids = np.array(got.ids, dtype).tobytes()
-            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
-            ends = (np.cumsum(n) * dtype.itemsize).tolist()
-            at = 0
-            for p, end in zip(owner, ends, strict=True):
-                known[p] += ids[at:end]
-                at = end
-        for p, got in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            known[p] = np.array(got.ids, dtype).tobytes()
+            of.update(self._model_ids(pieces))
+        known.update(zip(alpha, map(of.__getitem__, spelt), strict=True))
+        known.update((p, b"".join([of[x] for x in c])) for p, c in zip(mixed, cuts, strict=True))
+
+    def _model_ids(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each plain piece with its ids, from one call of the library."""
+        spelt = _JOINT.join(pieces).encode().decode("latin-1").translate(self.letters).split(self.joint)
+        got = self.model.encode_batch([spelt], is_pretokenized=True, add_special_tokens=False)[0]
+        ids, size = np.array(got.ids, self.dtype).tobytes(), self.dtype.itemsize
+        ends = (np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))) * size).tolist()
+        return zip(pieces, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False)
 
 
 @lru_cache(maxsize=2)
