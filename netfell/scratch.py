@@ -32,9 +32,11 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write df as a Parquet table and return the table as read back."""
+        """Write df as a Parquet table and return the table as read back. Shuffle files that only df needed may go."""
+        schema = df.schema
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        self.spark._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
