@@ -21,12 +21,13 @@ text are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import buffer, sizes, slices
@@ -43,7 +44,7 @@ _A, _B, _LIGHT, _SINGLE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC753
 _ONE = np.uint64(1)
 
 
-def shingles(numbers: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def shingles(numbers: np.ndarray, width: int) -> np.ndarray:
     """The distinct shingles of one text's words, ascending."""
     if not len(numbers):
         return numbers
@@ -57,7 +58,7 @@ def shingles(numbers: np.ndarray, width: int = WIDTH) -> np.ndarray:
 class Bands:
     """Size bands such that sets that can be alike are in one band or in neighbouring ones."""
 
-    def __init__(self, percent: int = PERCENT):
+    def __init__(self, percent: int):
         self.percent, self.starts = percent, [1]
 
     def band(self, n: int) -> int:
@@ -76,7 +77,7 @@ class Bands:
             self.band(self.starts[-1])
         top = self.starts[group + 1] - 1
         d = self.most(top, top * 100 // self.percent)
-        return (max(-(-self.starts[group] // 4), d + 2 + d // 10) if d else 1), d
+        return (d + 2 + d // 4 if d else 1), d
 
 
 def sketch_keys(own: np.ndarray, bands: Bands) -> np.ndarray:
@@ -104,7 +105,7 @@ def bit_sketch(own: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.bincount((mix(own ^ _A) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sets are linked, by sizes, then bit sketches, then the sets."""
     small, large = sorted((len(a), len(b)))
     if not small or 100 * small < percent * large:
@@ -119,12 +120,12 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 class _Block:
     """One block's documents and their sets."""
 
-    def __init__(self, payload: bytes, base: int, none: int):
+    def __init__(self, payload: bytes, base: int, none: int, width: int, percent: int):
         ids, valid, self.sets = [], [], []
         for batch in pa.ipc.open_stream(payload):
             numbers, n = words(*buffer(batch.column("text").fill_null("")))
             ends = np.cumsum(n)
-            self.sets += [shingles(numbers[b - c : b]) for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
+            self.sets += [shingles(numbers[b - c : b], width) for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
             ids.append(batch.column("doc_id").fill_null(base).to_numpy())
             valid.append(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
         self.ids, self.valid = np.concatenate(ids), np.concatenate(valid)
@@ -135,7 +136,7 @@ class _Block:
         order = order[self.size[order] > 0]
         first = np.concatenate([[True], np.diff(self.node[order]) != 0]) if len(order) else np.zeros(0, bool)
         self.own = order[first.astype(bool)]  # the first of each different set, in ascending order of node
-        bands = Bands()
+        bands = Bands(percent)
         self.keys = [sketch_keys(self.sets[i], bands) for i in self.own]
 
 
@@ -165,7 +166,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def nodes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """A row for each document: doc_id, n_shingles, node (its set), first_id (the least doc_id with that set), and for
     one document of each set that shares a sketch with another set: the shared sketches' keys, and the set."""
     spark = docs.sparkSession
@@ -183,7 +184,7 @@ def nodes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return flat[first], np.where(np.diff(np.append(first, len(flat))) > 1, 0, mark[first])
 
     def keys_of(payload: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-        b = _Block(payload, base, none)
+        b = _Block(payload, base, none, width, percent)
         return [(b.node[b.own], b.rank[b.own]), distinct_keys(b)]
 
     def answer(kind: int, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, dict[str, float]]:
@@ -197,7 +198,7 @@ def nodes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return np.repeat(((low == 0) | (low != np.maximum.reduceat(number, first))).astype(np.uint64), n), {}
 
     def finish(block: int, payload: bytes, said: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        b = _Block(payload, base, none)
+        b = _Block(payload, base, none, width, percent)
         known, _ = distinct_keys(b)
         least_rank = np.full(len(b.ids), none, np.uint64)
         if len(b.own):
@@ -224,28 +225,28 @@ def nodes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes whose sets (node, shingles) are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            yes = [alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b, strict=True)]
+            yes = [alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(yes))
 
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    made = nodes(docs, scratch)
+    made = nodes(docs, scratch, width, percent)
     sets = made.where(F.length("shingles") > 0).select("node", "shingles")
     shared = scratch.write(made.where(F.size("keys") > 0).select("node", "n_shingles", F.explode("keys").alias("key")).distinct(), "shared")
     leaders = shared.groupBy("key").agg(F.min("node").alias("v"))
     led = shared.join(leaders, "key").where("node <> v").select(F.col("node").alias("u"), "v")
-    links = scratch.write(verified(led.groupBy("u").agg(F.min("v").alias("v")), sets), "links-0")
+    links = scratch.write(verified(led.groupBy("u").agg(F.min("v").alias("v")), sets, percent), "links-0")
     for i in (1, 2):
         labels = component_labels(links, scratch, f"components-{i}")
         now = shared.join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("c"))
@@ -256,12 +257,23 @@ def link(docs: DataFrame) -> DataFrame:
         else:  # every pair of a sketch between components
             of = now.join(mixed.select("key"), "key", "left_semi")
             other = of.select("key", F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("c").alias("vc"))
-            near = (100 * F.least("n_shingles", "nv") >= PERCENT * F.greatest("n_shingles", "nv")) & (F.col("c") < F.col("vc"))
+            near = (100 * F.least("n_shingles", "nv") >= percent * F.greatest("n_shingles", "nv")) & (F.col("c") < F.col("vc"))
             pairs = of.join(other, "key").where(near).select(F.col("node").alias("u"), "v").distinct()
-        links = scratch.write(links.unionAll(verified(pairs, sets)), f"links-{i}")
+        links = scratch.write(links.unionAll(verified(pairs, sets, percent)), f"links-{i}")
     labels = component_labels(links, scratch, "components")
     named = labels.join(made.where(F.size("keys") > 0).select("node", "first_id").distinct(), "node")
     least_id = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
     merged = scratch.write(labels.join(least_id, "component").select("node", "least_id"), "merged")
     out = made.select("doc_id", "n_shingles", "node", "first_id").join(merged, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("least_id", "first_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The documents without all but one of each group: the one with the least doc_id stays, and of repeated rows one.
+
+    Rows that share a doc_id stay or go together; so do rows with a null doc_id."""
+    kept = link(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rest = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    nth = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    place = f"nth_{uuid.uuid4().hex}"
+    return rest.withColumn(place, F.row_number().over(nth)).where(F.col(place) == 1).drop(place)

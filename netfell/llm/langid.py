@@ -16,6 +16,7 @@ doc_id, text and, for training, lang are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -188,3 +189,20 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Learn from all folds but 0 and predict the language of every text."""
     model = train(docs.where(~held_out(F.col("doc_id"))), sample_docs)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def keep(docs: DataFrame, model: Model | None, least_score: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose text has a language that the model gives at least this score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+    text, letters = docs.columns.index("text"), f"letters_{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches, text) if own is not None else ():
+            bits = own.bits(batch.column(text).fill_null(""))
+            share = 1 / np.exp2(np.minimum(bits.min(axis=1)[:, None] - bits, 0.0)).sum(axis=1)
+            use = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (share >= least_score)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(use))
+
+    marked = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return marked.mapInArrow(run, docs.schema)

@@ -74,17 +74,19 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_let(hashes, counted))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, the characters of each class and the common words with their counts."""
+def features(docs: DataFrame, *kept: Column) -> DataFrame:
+    """doc_id, lang, the base counts, the characters of each class and the common words with their counts; and the
+    columns ``kept``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     without = lambda pattern: (F.length("t") - F.length(F.regexp_replace("t", pattern, ""))).cast("long")
     listed = _vocabulary()
     listed += [w[0].upper() + w[1:] for w in listed]
     words = F.filter(F.split("t", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
-    counted = docs.select("doc_id", F.col("lang").cast("string"), text.alias("t"))
+    counted = docs.select(*kept, "doc_id", F.col("lang").cast("string"), text.alias("t"))
     counted = counted.select("*", words.alias("words"), lines.alias("lines"), *(without(p).alias(k) for k, p in CLASSES.items()))
     return counted.select(
+        *counted.columns[: len(kept)],
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
@@ -149,15 +151,28 @@ def distances(known: dict[str, dict[str, float]]) -> tuple[Column, Column]:
     return least(by_class), least(by_word)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance and
-    word_distance of every document."""
-    made = Scratch(docs.sparkSession, "quality").write(features(docs), "features")
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _judged(made: DataFrame) -> DataFrame:
+    """The features' rows with base_failed, the distances and kept."""
     by_class, by_word = distances(references(made))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
     far |= (F.col("class_distance") > BOTH_CLASS_DISTANCE) & (F.col("word_distance") > BOTH_WORD_DISTANCE)
     far &= (F.col("word_chars") >= GUARD_CHARS) & (F.col("n_words") >= GUARD_WORDS)
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = made.select("doc_id", *base, failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance"))
-    return out.select("doc_id", *base, "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "class_distance", "word_distance")
+    out = made.withColumns({"base_failed": failed, "class_distance": by_class, "word_distance": by_word})
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance and
+    word_distance of every document."""
+    made = Scratch(docs.sparkSession, "quality").write(features(docs), "features")
+    return _judged(made).select("doc_id", *_BASE, "base_failed", "kept", "class_distance", "word_distance")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents, with all columns, that ``judge`` keeps."""
+    made = Scratch(docs.sparkSession, "quality").write(features(docs, F.struct(*docs.columns).alias("row")), "rows")
+    return _judged(made).where("kept").select("row.*")

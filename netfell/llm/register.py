@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netfell.llm import bytebpe, jaccard, langid, lm, packing, quality, substring, tokenfile, urlfilter
+import corpus_pipeline
+from netfell.llm import bytebpe, capfilter, jaccard, langid, lm, packing, quality, substring, tokenfile, urlfilter
 from netfell.tables import table
 
 
+def op1_cap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,8 +53,8 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_token_file, op3_language_id, op4_byte_bpe, op5_jaccard_join, op6_substring_dedup, op7_lm_score, op8_quality, op9_url_filter, op10_pattern_packing)
-    return {f.__name__: f for f in own}
+    own = (op1_cap_filter, op2_token_file, op3_language_id, op4_byte_bpe, op5_jaccard_join, op6_substring_dedup, op7_lm_score, op8_quality, op9_url_filter, op10_pattern_packing)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
