@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,10 +33,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write df as a Parquet table and return the table as read back. Shuffle files that only df needed may go."""
+        """Write df as a Parquet table and return the table as read back.
+
+        Spark deletes shuffle files when the driver collects the plans that made them; that is asked for here, so that
+        those of the steps before don't add up."""
+        gc.collect()
+        self.spark._jvm.System.gc()
         schema = df.schema
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
-        self.spark._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
