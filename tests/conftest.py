@@ -1,19 +1,25 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "3g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
@@ -22,3 +28,13 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def duck():
+    """DuckDB with the smallest tables as views."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for path in sorted(Path("/root/testdata/sf0.001").glob("*.parquet")):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
