@@ -49,7 +49,7 @@ class Codes:
 
     def __init__(self, dims: int, n: int):
         self.code = max(8, int(np.ceil(np.sqrt(n * PER_ROTATION / FILTER_SIZE))))
-        self.rotations = 4 * int(np.ceil(np.log2(self.code)))
+        self.rotations = max(24, 4 * int(np.ceil(np.log2(self.code))))
         self.alpha = cap(self.code**2, max(dims, 4), PER_ROTATION)
         self.dims = dims
         half = (dims + 1) // 2

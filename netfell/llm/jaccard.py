@@ -272,8 +272,8 @@ def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The documents without all but one of each group: the one with the least doc_id stays, and of repeated rows one.
 
     Rows that share a doc_id stay or go together; so do rows with a null doc_id."""
-    kept = link(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rest = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept_id, place = (f"{c}_{uuid.uuid4().hex}" for c in ("kept", "nth"))
+    kept = link(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    rest = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
     nth = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    place = f"nth_{uuid.uuid4().hex}"
     return rest.withColumn(place, F.row_number().over(nth)).where(F.col(place) == 1).drop(place)
