@@ -96,28 +96,33 @@ def converge(edges: DataFrame, nodes: DataFrame, params: ConvergeParams = Conver
     """Draw attacks chunk by chunk until every graph's plateau holds, or max_attacks. Returns participation, history
     and stop of every graph.
 
-    A round draws as many chunks as could still be needed at least (first what the window asks for, then one a round);
-    summed hits are written a table a round, so that each is drawn once and the lineage stays short. Graphs that have
-    stopped draw no more."""
-    scratch, chunk = Scratch(nodes.sparkSession, "converge"), 0
-    total, most = None, params.max_attacks // params.chunk_size
-    step = min(most, max(3, params.window) + params.stable - 1)
-    open_nodes, conv, stops = nodes, None, None
+    A round draws as many chunks as a stop takes at least, and then a quarter of those so far, so that rounds grow with
+    the logarithm of the run. Plateaus are looked for chunk by chunk all the same, and what was drawn beyond a graph's
+    stop is left out. Each round adds to written totals of one row a (graph, step, node); earlier chunks are not looked
+    at again, and graphs that have stopped draw no more."""
+    scratch, most, chunk = Scratch(nodes.sparkSession, "converge"), max(1, params.max_attacks // params.chunk_size), 0
+    step, totals, conv, stops, left = min(most, max(3, params.window) + params.stable - 1), None, None, None, nodes
     while chunk < most:
         some = min(step, most - chunk)
-        drawn = hits(_of(edges, open_nodes), open_nodes, some * params.chunk_size, params.seed, rule, chunk * params.chunk_size, params.chunk_size)
+        drawn = hits(_of(edges, left), left, some * params.chunk_size, params.seed, rule, chunk * params.chunk_size, params.chunk_size)
         drawn = scratch.write(drawn, f"hits-{chunk}")
-        total = drawn if total is None else total.unionByName(drawn)
-        chunk, step = chunk + some, 1
-        conv = scratch.write(history(total, nodes, params.chunk_size, params.quantile), f"history-{chunk}")
+        before = drawn if totals is None else drawn.unionByName(_of(totals, left).withColumn("chunk", F.lit(-1).cast("long")))
+        new = history(before, left, params.chunk_size, params.quantile).where("chunk >= 0")
+        conv = scratch.write(new if conv is None else conv.unionByName(new), f"history-{chunk}")
         flags = plateau(conv, params.window, params.start, params.range_tol, params.slope_tol, params.enforce)
         stops = scratch.write(stop_chunk(run_lengths(flags), params.stable), f"stops-{chunk}")
-        left = stops.where("stop_chunk IS NULL")
-        if left.isEmpty():
+        used = drawn.join(F.broadcast(stops.select("graph_id", "stop_chunk")), "graph_id").where("stop_chunk IS NULL OR chunk <= stop_chunk").select("graph_id", "step", "node", "k")
+        added = used if totals is None else totals.unionByName(used)
+        totals = scratch.write(added.groupBy("graph_id", "step", "node").agg(F.sum("k").alias("k")), f"totals-{chunk}")
+        chunk += some
+        step = max(1, chunk // 4)
+        unfinished = stops.where("stop_chunk IS NULL").select("graph_id")
+        if unfinished.isEmpty():
             break
-        open_nodes = nodes.join(left.select("graph_id"), "graph_id", "left_semi")
-    kept = total.join(F.broadcast(stops.select("graph_id", "stop_chunk")), "graph_id").where("stop_chunk IS NULL OR chunk <= stop_chunk").drop("stop_chunk")
-    return participation(kept, nodes), conv, stops
+        left = nodes.join(F.broadcast(unfinished), "graph_id", "left_semi")
+    used_until = F.broadcast(stops.select("graph_id", "stop_chunk"))
+    conv = conv.join(used_until, "graph_id").where("stop_chunk IS NULL OR chunk <= stop_chunk").drop("stop_chunk")
+    return participation(totals, nodes), conv, stops
 
 
 def _of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
