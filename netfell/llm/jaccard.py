@@ -44,15 +44,32 @@ _A, _B, _LIGHT, _SINGLE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC753
 _ONE = np.uint64(1)
 
 
-def shingles(numbers: np.ndarray, width: int) -> np.ndarray:
-    """The distinct shingles of one text's words, ascending."""
-    if not len(numbers):
-        return numbers
-    width = min(width, len(numbers))
-    out = np.full(len(numbers) - width + 1, width, np.uint64)
+def shingle_sets(numbers: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, ascending within a text, and how many each has; from all texts' words."""
+    ends = np.cumsum(n)
+    out = np.full(max(0, len(numbers) - width + 1), width, np.uint64)
     for i in range(width):
         out = mix(out * _A + numbers[i : len(numbers) - width + 1 + i])
-    return np.unique(out)
+    owner = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(out)) + width <= ends[owner[: len(out)]] if len(out) else np.zeros(0, bool)
+    out, count = out[inside], np.maximum(n - width + 1, 0)
+    short = np.flatnonzero((n > 0) & (n < width))
+    if len(short):  # all words as one
+        whole = []
+        for i in short.tolist():
+            x = np.full(1, n[i], np.uint64)
+            for w in numbers[ends[i] - n[i] : ends[i]]:
+                x = mix(x * _A + w)
+            whole.append(x)
+        out = np.insert(out, np.cumsum(count)[short], np.concatenate(whole))
+        count[short] = 1
+    at = 0
+    for end in np.cumsum(count).tolist():
+        out[at:end].sort()
+        at = end
+    owner = np.repeat(np.arange(len(n)), count)
+    first = np.concatenate([[True], (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])]) if len(out) else np.zeros(0, bool)
+    return out[first], np.bincount(owner[first], minlength=len(n))
 
 
 class Bands:
@@ -80,24 +97,39 @@ class Bands:
         return (d + 2 + d // 4 if d else 1), d
 
 
-def sketch_keys(own: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of one set (ascending hashes), for the groups of its own band and the one below."""
-    out, band = [], bands.band(len(own))
-    for group in ([band - 1] if band else []) + [band]:
-        k, d = bands.parts(group)
-        part = (own >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        n = np.diff(np.append(first, len(own)))
-        sketch = np.bitwise_xor.reduceat(mix(own ^ _B), first)
-        apart = np.uint64(group * int(_B) % (1 << 64))
-        key = mix(mix(sketch) + part[first] * _A + apart)
-        heavy = n > 1
-        out.append(key[heavy])
-        if int(heavy.sum()) <= d:
-            out.append(mix(key[~heavy] ^ _LIGHT))
-        if len(first) <= d:
-            out.append(mix(mix(own ^ _SINGLE) + apart))
-    return np.concatenate(out)
+def _sketches(sets: np.ndarray, size: np.ndarray, group: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys of sets that are not empty, each for the group given for it, and whose they are."""
+    known, back = np.unique(group, return_inverse=True)
+    k, d = (np.array(x, np.int64)[back] for x in zip(*(bands.parts(int(g)) for g in known), strict=True))
+    owner = np.repeat(np.arange(len(size)), size)
+    apart = group.astype(np.uint64) * _B
+    part = (sets >> np.uint64(32)) * k.astype(np.uint64)[owner] >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
+    n = np.diff(np.append(first, len(sets)))
+    own = owner[first]
+    key = mix(mix(np.bitwise_xor.reduceat(mix(sets ^ _B), first)) + part[first] * _A + apart[own])
+    heavy = n > 1
+    weak = np.bincount(own[heavy], minlength=len(size)) <= d
+    single = np.bincount(own, minlength=len(size)) <= d
+    light, alone = ~heavy & weak[own], single[owner]
+    keys = [key[heavy], mix(key[light] ^ _LIGHT), mix(mix(sets[alone] ^ _SINGLE) + apart[owner[alone]])]
+    return np.concatenate(keys), np.concatenate([own[heavy], own[light], owner[alone]])
+
+
+def sketch_keys(sets: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys of sets (their hashes in a row, ascending in each), for the groups of their own band and the one
+    below; and whose they are, in ascending order."""
+    if not len(size):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sizes, back = np.unique(size, return_inverse=True)
+    band = np.array([bands.band(int(n)) for n in sizes])[back]
+    upper = band > 0
+    keys, owner = _sketches(sets, size, band, bands)
+    if upper.any():
+        more, whose = _sketches(sets[np.repeat(upper, size)], size[upper], band[upper] - 1, bands)
+        keys, owner = np.concatenate([keys, more]), np.concatenate([owner, np.flatnonzero(upper)[whose]])
+    order = np.argsort(owner, kind="stable")
+    return keys[order], owner[order]
 
 
 def bit_sketch(own: np.ndarray, bits: int) -> np.ndarray:
@@ -118,26 +150,35 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class _Block:
-    """One block's documents and their sets."""
+    """One block's documents, their sets, and the keys of its different sets."""
 
     def __init__(self, payload: bytes, base: int, none: int, width: int, percent: int):
-        ids, valid, self.sets = [], [], []
+        ids, valid, sets, size = [], [], [], []
         for batch in pa.ipc.open_stream(payload):
-            numbers, n = words(*buffer(batch.column("text").fill_null("")))
-            ends = np.cumsum(n)
-            self.sets += [shingles(numbers[b - c : b], width) for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
+            own, count = shingle_sets(*words(*buffer(batch.column("text").fill_null(""))), width)
+            sets.append(own)
+            size.append(count)
             ids.append(batch.column("doc_id").fill_null(base).to_numpy())
             valid.append(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
-        self.ids, self.valid = np.concatenate(ids), np.concatenate(valid)
+        self.ids, self.valid, self.size = np.concatenate(ids), np.concatenate(valid), np.concatenate(size)
+        self.flat, self.ends = np.concatenate(sets), np.cumsum(self.size)
         self.rank = np.where(self.valid, self.ids - base, none).astype(np.uint64)
-        self.size = np.array([len(s) for s in self.sets], np.int64)
-        self.node = mix(np.array([mix(s ^ _LIGHT).sum(dtype=np.uint64) for s in self.sets], np.uint64) + self.size.astype(np.uint64) * _A)
+        some = np.flatnonzero(self.size)
+        sums = np.zeros(len(self.size), np.uint64)
+        if len(some):
+            sums[some] = np.add.reduceat(mix(self.flat ^ _LIGHT), (self.ends - self.size)[some])
+        self.node = mix(sums + self.size.astype(np.uint64) * _A)
         order = np.lexsort((self.rank, self.node))
         order = order[self.size[order] > 0]
-        first = np.concatenate([[True], np.diff(self.node[order]) != 0]) if len(order) else np.zeros(0, bool)
-        self.own = order[first.astype(bool)]  # the first of each different set, in ascending order of node
-        bands = Bands(percent)
-        self.keys = [sketch_keys(self.sets[i], bands) for i in self.own]
+        self.own = order[np.concatenate([[True], self.node[order[1:]] != self.node[order[:-1]]])] if len(order) else order
+        picked = np.sort(self.own)  # the first of each different set
+        use = np.zeros(len(self.size), bool)
+        use[picked] = True
+        self.keys, whose = sketch_keys(self.flat[np.repeat(use, self.size)], self.size[picked], Bands(percent))
+        self.whose = picked[whose]
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] - self.size[i] : self.ends[i]]
 
 
 def _payload(batches: list[pa.RecordBatch]) -> bytes:
@@ -176,10 +217,8 @@ def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFr
 
     def distinct_keys(b: _Block) -> tuple[np.ndarray, np.ndarray]:
         """The block's keys and, for each, 24 bits of the set that alone has it, or 0."""
-        flat = np.concatenate(b.keys) if b.keys else np.zeros(0, np.uint64)
-        mark = np.repeat(b.node[b.own] >> np.uint64(40) | _ONE, [len(k) for k in b.keys])
-        order = np.argsort(flat, kind="stable")
-        flat, mark = flat[order], mark[order]
+        order = np.argsort(b.keys, kind="stable")
+        flat, mark = b.keys[order], (b.node >> np.uint64(40) | _ONE)[b.whose[order]]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         return flat[first], np.where(np.diff(np.append(first, len(flat))) > 1, 0, mark[first])
 
@@ -206,10 +245,11 @@ def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFr
             least_rank = np.where(b.size > 0, said[0][at], b.rank)
         keys: list[list[int]] = [[] for _ in b.ids]
         sets = [b""] * len(b.ids)
-        for i, own in zip(b.own.tolist(), b.keys, strict=True):
-            if b.rank[i] == least_rank[i] and (shared := own[said[1][np.searchsorted(known, own)] == 1]).size:
-                keys[i] = np.unique(shared).view(np.int64).tolist()
-                sets[i] = b.sets[i].tobytes()
+        shared = np.flatnonzero((said[1][np.searchsorted(known, b.keys)] == 1) & (b.rank == least_rank)[b.whose]) if len(known) else np.zeros(0, np.int64)
+        owners, first = np.unique(b.whose[shared], return_index=True)
+        for i, some in zip(owners.tolist(), np.split(shared, first[1:]), strict=False):
+            keys[i] = np.unique(b.keys[some]).view(np.int64).tolist()
+            sets[i] = b.set_of(i).tobytes()
         first_id = pa.array(least_rank.astype(np.int64) + base, mask=least_rank == none)
         for a in range(0, len(b.ids), 2000):
             z = slice(a, a + 2000)
