@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netfell.llm.blockpairs import block_pairs, groups
 from netfell.operators.components import component_labels
 from netfell.scratch import Scratch
 
@@ -166,30 +167,12 @@ def _roots(link: np.ndarray, offset: int) -> np.ndarray:
 
 def compare(rows: DataFrame, dtype: str) -> DataFrame:
     """node, n_links (to vectors it first meets here) and root (a node of its component) for filters' members."""
-    sizes = rows.groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    hot = sizes.select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    split = rows.join(hot, "filter", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    split = split.select("filter", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies", "vector", "filters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = batch.slice(a, b - a)
-                if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(3)):
-                    yield from group(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield from group(held)
-
-    def group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(b.num_rows for b in held) < 2:
-            return
-        t = pa.Table.from_batches(held)
+        for t in groups(batches):
+            yield from group(t)
+
+    def group(t: pa.Table) -> Iterator[pa.RecordBatch]:
         here, a, b = (t.column(i)[0].as_py() for i in range(3))
         node, copies, block = t.column("node").to_numpy(), t.column("copies").to_numpy(), t.column("block").to_numpy()
         x, filters = units(t.column("vector").to_pylist(), dtype), t.column("filters").to_pylist()
@@ -208,8 +191,7 @@ def compare(rows: DataFrame, dtype: str) -> DataFrame:
         if some.any():
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some].astype(np.int64)), pa.array(node[root[some]])], ["node", "n_links", "root"])
 
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return split.repartition(tasks, "filter", "a", "b").sortWithinPartitions("filter", "a", "b").mapInArrow(run, "node long, n_links long, root long")
+    return block_pairs(rows, "filter", "node", BLOCK).mapInArrow(run, "node long, n_links long, root long")
 
 
 def near_duplicates(table: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ kind on its single shingles, so no link can be missed. Candidates are verified:
 of single bits, which cannot exceed the number of differing shingles, then the sets themselves.
 
 Equal sets are one node from the start. Sketches meet by ``blockexchange``, so that a sketch found in many documents
-costs one entry a block. Candidates come in rounds: each node with the least node it shares a sketch with, then, per
-sketch, with the least one; and then every pair that shares a sketch but is in different components so far. Pairs
-within a component are not looked at again, so a large group of near copies costs a few pairs a member.
+costs one entry a block. Candidates come in rounds: each node with the least node it shares a sketch with; then, in
+each sketch, with its nearest by bit sketches in another component; then every pair of a sketch that is still in
+different components and that the bit sketches don't rule out. Only such pairs leave a task; pairs within a component
+are not looked at again, so a large group of near copies costs a few pairs a member.
 
 Null or empty text has an empty set, linked with nothing. Repeated rows are equal sets. component_id is the least
 doc_id of the component; rows with a null doc_id have no say in it. Hashes have 64 bits. Columns besides doc_id and
@@ -32,14 +33,17 @@ from pyspark.sql import functions as F
 
 from netfell.llm.arrow import buffer, sizes, slices
 from netfell.llm.blockexchange import BLOCKS, answers, blob_batches, block_rows, exchange
+from netfell.llm.blockpairs import block_pairs, groups
 from netfell.llm.words import mix, words
 from netfell.operators.components import component_labels
 from netfell.scratch import Scratch
 
 WIDTH, PERCENT = 4, 85
 BLOCK_BYTES = 8 << 20
-_NODES = "doc_id long, n_shingles long, node long, first_id long, keys array<long>, shingles binary"
-_NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("first_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
+#: Members of a sketch that are compared at a time.
+BLOCK = 2048
+_NODES = "doc_id long, n_shingles long, node long, first_id long, keys array<long>, shingles binary, sketch binary"
+_NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("first_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary()), ("sketch", pa.binary())])
 _A, _B, _LIGHT, _SINGLE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x6C69676874), np.uint64(0x73696E67)
 _ONE = np.uint64(1)
 
@@ -134,21 +138,57 @@ def sketch_keys(sets: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.nd
 
 def bit_sketch(own: np.ndarray, bits: int) -> np.ndarray:
     """A set's parity in each of ``bits`` (a power of two) buckets of hashes, as bytes."""
-    return np.packbits(np.bincount((mix(own ^ _A) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+    return np.packbits((np.bincount((mix(own ^ _A) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def sketch_bits(size: int) -> int:
+    """Bits of a set's sketch: a power of two between its size and twice that, 64 at least."""
+    return max(64, 1 << (size - 1).bit_length())
+
+
+def folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """The sketch as it would be with fewer bits."""
+    while len(sketch) * 8 > bits:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets are linked, by sizes, then bit sketches, then the sets."""
+    """Whether two sets are linked."""
     small, large = sorted((len(a), len(b)))
     if not small or 100 * small < percent * large:
         return False
-    bits = max(64, 1 << (2 * large - 1).bit_length())
-    if int(np.bitwise_count(bit_sketch(a, bits) ^ bit_sketch(b, bits)).sum()) > Bands(percent).most(small, large):
-        return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def near_pairs(t: pa.Table, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Members of one sketch, in different components, whose bit sketches do not rule a link out: all pairs, or for each
+    member the pair with the least Hamming distance."""
+    a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+    block, size, part = (t.column(c).to_numpy() for c in ("block", "size", "c"))
+    raw = [np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()]
+    bits = min(map(len, raw)) * 8
+    x = np.stack([folded(r, bits) for r in raw]).view(np.uint64)
+    left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        far = np.bitwise_count(x[i][:, None] ^ x[right][None]).sum(axis=2, dtype=np.int64)
+        both = size[i][:, None] + size[right][None]
+        ok = (far <= (100 - percent) * both // (100 + percent)) & (part[i][:, None] != part[right][None])
+        ok &= 100 * np.minimum(size[i][:, None], size[right][None]) >= percent * np.maximum(size[i][:, None], size[right][None])
+        if nearest:
+            best = np.where(ok, far, np.iinfo(np.int64).max).argmin(axis=1)
+            use = ok[np.arange(len(i)), best]
+            found.append((i[use], right[best[use]]))
+        else:
+            p, q = np.nonzero(ok & (i[:, None] < right[None]) if a == b else ok)
+            found.append((i[p], right[q]))
+    return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+
+
 class _Block:
     """One block's documents, their sets, and the keys of its different sets."""
 
@@ -244,17 +284,18 @@ def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFr
             at = np.minimum(np.searchsorted(b.node[b.own], b.node), len(b.own) - 1)
             least_rank = np.where(b.size > 0, said[0][at], b.rank)
         keys: list[list[int]] = [[] for _ in b.ids]
-        sets = [b""] * len(b.ids)
+        sets, bits = [b""] * len(b.ids), [b""] * len(b.ids)
         shared = np.flatnonzero((said[1][np.searchsorted(known, b.keys)] == 1) & (b.rank == least_rank)[b.whose]) if len(known) else np.zeros(0, np.int64)
         owners, first = np.unique(b.whose[shared], return_index=True)
         for i, some in zip(owners.tolist(), np.split(shared, first[1:]), strict=False):
             keys[i] = np.unique(b.keys[some]).view(np.int64).tolist()
             sets[i] = b.set_of(i).tobytes()
+            bits[i] = bit_sketch(b.set_of(i), sketch_bits(int(b.size[i]))).tobytes()
         first_id = pa.array(least_rank.astype(np.int64) + base, mask=least_rank == none)
         for a in range(0, len(b.ids), 2000):
             z = slice(a, a + 2000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.ids[z], mask=~b.valid[z]), pa.array(b.size[z], pa.int64()), pa.array(b.node[z].view(np.int64)), first_id[z], pa.array(keys[z], pa.list_(pa.int64())), pa.array(sets[z], pa.binary())], schema=_NODE
+                [pa.array(b.ids[z], mask=~b.valid[z]), pa.array(b.size[z], pa.int64()), pa.array(b.node[z].view(np.int64)), first_id[z], pa.array(keys[z], pa.list_(pa.int64())), pa.array(sets[z], pa.binary()), pa.array(bits[z], pa.binary())], schema=_NODE
             )
 
     replies, _ = exchange(blocks, keys_of, answer, scratch, "replies")
@@ -278,30 +319,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def candidates(now: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (u, v) that share a sketch, are in different components and may be alike, from now(key, node, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches):
+            i, j = near_pairs(t, percent, nearest)
+            if len(i):
+                node = t.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+
+    mixed = now.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    rows = now.join(mixed, "key", "left_semi").join(sketches, "node").select("key", "node", "c", "size", "sketch")
+    return block_pairs(rows, "key", "node", BLOCK).mapInArrow(run, "u long, v long").distinct()
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     made = nodes(docs, scratch, width, percent)
-    sets = made.where(F.length("shingles") > 0).select("node", "shingles")
-    shared = scratch.write(made.where(F.size("keys") > 0).select("node", "n_shingles", F.explode("keys").alias("key")).distinct(), "shared")
+    some = made.where(F.length("shingles") > 0)
+    sets, sketches = some.select("node", "shingles"), some.select("node", F.col("n_shingles").alias("size"), "sketch")
+    shared = scratch.write(some.select("node", F.explode("keys").alias("key")).distinct(), "shared")
     leaders = shared.groupBy("key").agg(F.min("node").alias("v"))
-    led = shared.join(leaders, "key").where("node <> v").select(F.col("node").alias("u"), "v")
-    links = scratch.write(verified(led.groupBy("u").agg(F.min("v").alias("v")), sets, percent), "links-0")
-    for i in (1, 2):
-        labels = component_labels(links, scratch, f"components-{i}")
-        now = shared.join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("c"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("node").alias("v")).where("a <> b")
-        if i == 1:  # with each sketch's least node
-            least = mixed.select("key", "v").join(now.select("key", F.col("node").alias("v"), F.col("c").alias("vc")), ["key", "v"])
-            pairs = now.join(least, "key").where("c <> vc").select(F.col("node").alias("u"), "v").distinct()
-        else:  # every pair of a sketch between components
-            of = now.join(mixed.select("key"), "key", "left_semi")
-            other = of.select("key", F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("c").alias("vc"))
-            near = (100 * F.least("n_shingles", "nv") >= percent * F.greatest("n_shingles", "nv")) & (F.col("c") < F.col("vc"))
-            pairs = of.join(other, "key").where(near).select(F.col("node").alias("u"), "v").distinct()
-        links = scratch.write(links.unionAll(verified(pairs, sets, percent)), f"links-{i}")
+    led = shared.join(leaders, "key").where("node <> v").groupBy(F.col("node").alias("u")).agg(F.min("v").alias("v"))
+    links = scratch.write(verified(led, sets, percent), "links")
+    for name in ("nearest", "all"):
+        labels = component_labels(links, scratch, f"before-{name}")
+        now = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        pairs = scratch.write(candidates(now, sketches, percent, name == "nearest"), f"pairs-{name}")
+        links = scratch.write(links.unionAll(verified(pairs, sets, percent)), f"links-{name}")
     labels = component_labels(links, scratch, "components")
-    named = labels.join(made.where(F.size("keys") > 0).select("node", "first_id").distinct(), "node")
+    named = labels.join(some.select("node", "first_id").distinct(), "node")
     least_id = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
     merged = scratch.write(labels.join(least_id, "component").select("node", "least_id"), "merged")
     out = made.select("doc_id", "n_shingles", "node", "first_id").join(merged, "node", "left")
