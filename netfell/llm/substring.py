@@ -2,7 +2,12 @@
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or before a line end. Every run of RUN consecutive
 sentences with at least RUN_WORDS words is hashed, and so that long sentences count too, every shorter run of at least
-LONG_WORDS. Spans are joined globally by ``blockexchange``: the first occurrence of a span is the earliest in the
+LONG_WORDS. That leaves repeats of many very short sentences and of one or two middling ones; with ``whole`` every
+passage of whole sentences with at least RUN_WORDS words counts, however many sentences it takes: runs up to RUN have
+that one floor, and from every sentence on, and up to every sentence, so has the shortest longer run that reaches it.
+The registered query and the pipeline go without, as the SQL does.
+
+Spans are joined globally by ``blockexchange``: the first occurrence of a span is the earliest in the
 document with the smallest doc_id; a sentence that any other occurrence covers is removed, with the blanks after it.
 
 Words are compared with A-Z lower-cased, whatever blanks are between them, by 64-bit numbers. Null text stays null, and
@@ -28,6 +33,7 @@ from netfell.scratch import Scratch
 
 RUN, RUN_WORDS, LONG_WORDS = 3, 15, 40
 BLOCK_BYTES = 8 << 20
+_BASE = 0x9FB21C651E98DF25
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 _SCHEMA = "row string, doc_id long, text string, n_sentences long, n_removed long, n_removed_words long"
@@ -54,7 +60,7 @@ class Sentences:
         same = np.append(self.owner[1:] == self.owner[:-1], False) if len(first) else np.zeros(0, bool)
         self.stops = np.where(same, np.append(self.starts[1:], 0), ends[self.owner + 1])
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spans(self, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, first sentence and number of sentences of every span."""
         n, out = len(self.hash), []
         for m in range(1, RUN + 1):
@@ -65,10 +71,26 @@ class Sentences:
             key = np.full(len(at), m, np.uint64)
             for i in range(m):
                 key = mix(key * np.uint64(0x9FB21C651E98DF25) + self.hash[i : n - m + 1 + i])
-            use = (self.owner[at] == self.owner[at + m - 1]) & (total >= (RUN_WORDS if m == RUN else LONG_WORDS))
+            use = (self.owner[at] == self.owner[at + m - 1]) & (total >= (RUN_WORDS if m == RUN or whole else LONG_WORDS))
             out.append((key[use], at[use], np.full(int(use.sum()), m)))
+        if whole and n:
+            out.append(self._longer())
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def _longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans of more than RUN sentences: the shortest with RUN_WORDS words from every sentence on and up to it."""
+        n, before = len(self.hash), np.concatenate([[0], np.cumsum(self.words)])
+        stop = np.searchsorted(before, before[:-1] + RUN_WORDS)
+        start = np.searchsorted(before, before[1:] - RUN_WORDS, side="right") - 1
+        at, end = np.concatenate([np.arange(n), start]), np.concatenate([stop, np.arange(1, n + 1)])
+        use = (at >= 0) & (end <= n) & (end - at > RUN)
+        at, end = at[use], end[use]
+        use = self.owner[at] == self.owner[end - 1]
+        at, m = np.divmod(np.unique(at[use] * (n + 1) + (end - at)[use]), n + 1)
+        power, inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * power[:n])])
+        return mix(mix((sums[at + m] - sums[at]) * inverse[at]) + m.astype(np.uint64)), at, m
+
 
 def _write(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
@@ -83,7 +105,7 @@ def _open(payload: bytes) -> Iterator[tuple[pa.RecordBatch, Sentences]]:
         yield batch, Sentences(*buffer(batch.column("text").fill_null("")))
 
 
-def remove(docs: DataFrame, row: str | None = None) -> DataFrame:
+def remove(docs: DataFrame, row: str | None = None, whole: bool = False) -> DataFrame:
     """row (the column of that name as text), doc_id, text without repeated passages, n_sentences, n_removed and
     n_removed_words of every document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
@@ -110,7 +132,7 @@ def remove(docs: DataFrame, row: str | None = None) -> DataFrame:
         return np.where(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(base).to_numpy() - base, none).astype(np.uint64)
 
     def gathered(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-        found = [(s.spans()[0], ranks(b)[s.owner[s.spans()[1]]]) for b, s in _open(payload)]
+        found = [(key, ranks(b)[s.owner[at]]) for b, s in _open(payload) for key, at, _ in [s.spans(whole)]]
         return np.concatenate([k for k, _ in found]), np.concatenate([r for _, r in found])
 
     def keys(payload: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -128,7 +150,7 @@ def remove(docs: DataFrame, row: str | None = None) -> DataFrame:
     def finish(block: int, payload: bytes, said: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         (known, least_rank), = keys(payload)
         for batch, s in _open(payload):
-            key, at, m = s.spans()
+            key, at, m = s.spans(whole)
             place = np.searchsorted(known, key)
             rank, doc = ranks(batch)[s.owner[at]], s.owner[at]
             held = (said[0][place] == 1) & (rank == least_rank[place]) if len(place) else np.zeros(0, bool)

@@ -235,3 +235,16 @@ def test_passages_against_brute_force(spark, odd, none):
 
 def test_passages_against_sql(spark, duck):
     assert rows_of(substring.remove(table(spark, SF, "documents")).drop("row")) == rows_of_sql(duck, oracle.substring_dedup())
+
+
+def test_whole_passages_of_short_and_middling_sentences(spark):
+    lines = [f"l{i}a l{i}b l{i}c l{i}d" for i in range(13)] + ["last one"]  # 54 words
+    inside = " ".join(f"m{i}" for i in range(30)) + ". " + " ".join(f"n{i}" for i in range(8)) + "."  # with torn ends, over 50 words
+    same = "\n".join(lines)
+    rows = [(i, f"{prose(700 + i, 4)}\n{same}\n{prose(710 + i, 3)}", "en", "s", 1) for i in range(3)]
+    rows += [(10 + i, f"{prose(720 + i, 2)} Own{i} o1 o2 o3 o4 o5 o6 o7. {inside} p1 p2 p3 p4 p5 p6 end{i}. {prose(730 + i, 2)}", "en", "s", 1) for i in range(3)]
+    rows += [(20, "\n".join(lines[:3]), "en", "s", 1), (21, "\n".join(lines[:3]), "en", "s", 1), (30, None, "en", "s", 1), (31, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r.doc_id: r for r in substring.remove(df, whole=True).collect()}
+    assert {d: r.n_removed for d, r in got.items()} == {0: 0, 1: 14, 2: 14, 10: 0, 11: 2, 12: 2, 20: 0, 21: 0, 30: 0, 31: 0}
+    assert all(got[d].text == f"{prose(700 + d, 4)}\n{prose(710 + d, 3)}" for d in (1, 2)) and got[0].text == rows[0][1]
