@@ -1,7 +1,8 @@
 """Ward clustering of node profiles, silhouettes, and the critical nodes they give.
 
 Linkage needs all of a graph's vectors at once, so a graph is one group of applyInArrow; graphs run side by side. A
-graph with more nodes than MOST_NODES is refused rather than half done.
+graph with more nodes than MOST_NODES is refused rather than half done. Silhouettes of given labels need only pairs, so
+they are summed block by block and refuse nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from netfell.tables import reachable
 
 #: Nodes of a graph up to which the distances of all pairs are held by one task (200 MB at 5000).
 MOST_NODES = 5000
+#: Vectors of a block whose distances to another block's are held by one task (32 MB at 2000).
+BLOCK_ROWS = 2000
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -173,18 +176,57 @@ def _labelled(table: pa.Table, node: np.ndarray, labels: np.ndarray) -> pa.Table
     return pa.table({"graph_id": pa.array([table.column("graph_id")[0].as_py()] * len(node), pa.string()), "node": pa.array(node.astype(np.int32)), "label": pa.array(labels.astype(np.int32))})
 
 
-def silhouette(vectors: DataFrame) -> DataFrame:
-    """graph_id and mean silhouette of vectors(graph_id, node, x, label)."""
+def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distance of every row of x to every row of y."""
+    p, q = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = np.sqrt(np.maximum(p[:, None] + q[None] - 2 * x @ y.T, 0))
+    close = out < 1e-6 * (1 + np.sqrt(max(p.max(initial=0), q.max(initial=0))))
+    for i in np.flatnonzero(close.any(axis=1)):  # close pairs lose digits above
+        out[i, close[i]] = np.sqrt(((x[i] - y[close[i]]) ** 2).sum(axis=1))
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        _, x = _matrix(table)
-        labels = table.column("label").to_numpy()[np.argsort(node, kind="stable")]
-        score = float(silhouettes(distances(x), labels).mean())
-        return pa.table({"graph_id": [table.column("graph_id")[0].as_py()], "silhouette": [score]})
 
+def silhouette(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """graph_id and mean silhouette of vectors(graph_id, node, x, label), of any number of vectors: a task has two
+    blocks of about ``rows`` vectors, and sums each point's distances to the other block's points by their label."""
     reachable(vectors.sparkSession)
-    return vectors.select("graph_id", "node", "x", "label").groupBy("graph_id").applyInArrow(run, "graph_id string, silhouette double")
+    points = vectors.groupBy("graph_id", "node", "x", "label").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("x", "label"))
+    blocks = vectors.groupBy(F.col("graph_id").alias("g")).agg(F.ceil(F.count("*") / rows).alias("blocks"))
+    points = points.join(F.broadcast(blocks), F.col("graph_id").eqNullSafe(F.col("g"))).withColumn("block", F.pmod(F.xxhash64("node", "h"), "blocks"))
+    columns = ["graph_id", "a", "b", "node", "h", "label", "copies", "x"]
+    left = points.withColumn("a", F.col("block")).withColumn("b", F.explode(F.sequence("block", F.col("blocks") - 1))).select(columns)
+    right = points.withColumn("b", F.col("block")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), "block"))).select(*(F.col(c).alias(f"r_{c}") for c in columns))
+    names = ["graph_id", "node", "h", "label", "copies", "other", "n", "s"]
+
+    def summed(own: pa.Table, others: pa.Table, d: np.ndarray) -> pa.Table:
+        kinds = others.column("label").combine_chunks().dictionary_encode(null_encoding="encode")
+        copies, k, n = others.column("copies").to_numpy(), len(kinds.dictionary), own.num_rows
+        of = np.zeros((len(copies), k))
+        of[np.arange(len(copies)), kinds.indices.to_numpy()] = copies
+        each = own.select(["graph_id", "node", "h", "label", "copies"]).take(np.repeat(np.arange(n), k))
+        other = kinds.dictionary.take(pa.array(np.tile(np.arange(k), n)))
+        return pa.table([*each.columns, other, pa.array(np.tile(of.sum(axis=0).astype(np.int64), n)), pa.array((d @ of).reshape(-1))], names=names)
+
+    def run(key: tuple, own: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.rename_columns(columns)
+        x, y = (np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1) for t in (own, others))
+        if not len(x) or not len(y):
+            return summed(own, others, np.zeros((len(x), len(y))))
+        d = _between(x, y)
+        there = summed(own, others, d)
+        return there if key[1].as_py() == key[2].as_py() else pa.concat_tables([there, summed(others, own, d.T)])
+
+    kind = dict(points.dtypes)
+    schema = ", ".join(f"{c} {kind[{'other': 'label'}.get(c, c)]}" for c in names[:6]) + ", n long, s double"
+    keys = ["graph_id", "a", "b"]
+    sums = left.groupBy(keys).cogroup(right.groupBy([f"r_{c}" for c in keys])).applyInArrow(run, schema)
+    point = names[:5]
+    by_label = sums.groupBy(*point, "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    inside = F.col("other").eqNullSafe(F.col("label"))
+    a, b = F.col("near"), F.col("far")
+    scored = by_label.groupBy(*point).agg(F.sum(F.when(inside, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("near"), F.min(F.when(~inside, F.col("s") / F.col("n"))).alias("far"))
+    value = F.when(b.isNotNull() & (F.greatest(a, b) > 0), (b - a) / F.greatest(a, b)).otherwise(0.0)
+    return scored.groupBy("graph_id").agg((F.sum(value * F.col("copies")) / F.sum("copies")).alias("silhouette"))
 
 
 def cluster_stats(labelled: DataFrame) -> DataFrame:

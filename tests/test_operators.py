@@ -136,6 +136,24 @@ def test_silhouette_of_singletons_and_equal_points():
     assert clustering.silhouettes(d, np.array([1, 1, 1])).tolist() == [0.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("rows", [7, 2000])
+def test_silhouette_by_blocks_against_one_matrix(spark, rows):
+    rng = np.random.default_rng(3)
+    x, labels = rng.normal(size=(40, 3)), rng.integers(0, 4, 40)
+    x[5], labels[9] = x[4], 7  # equal points, and a point alone
+    x, labels = np.concatenate([x, x[:2]]), np.concatenate([labels, labels[:2]])  # and repeated rows
+    nodes = [*range(40), 0, 1]
+    df = spark.createDataFrame([("g", n, p.tolist(), int(k)) for n, p, k in zip(nodes, x, labels, strict=True)] + [("one", n, [float(n)], 1) for n in range(9)], "graph_id string, node int, x array<double>, label int")
+    got = {r.graph_id: r.silhouette for r in clustering.silhouette(df, rows).collect()}
+    assert got == pytest.approx({"g": clustering.silhouettes(clustering.distances(x), labels).mean(), "one": 0.0})
+
+
+def test_silhouette_above_the_nodes_of_one_task(spark):
+    n = clustering.MOST_NODES + 1  # even points at 0, odd ones at 1
+    df = spark.range(n).selectExpr("'g' AS graph_id", "CAST(id AS INT) AS node", "array(CAST(id % 2 AS DOUBLE)) AS x", "CAST(id % 2 AS INT) AS label")
+    assert clustering.silhouette(df).collect()[0].silhouette == 1.0
+
+
 def test_critical_nodes_finds_the_early_pair(spark):
     rows = [("g", s, n, (1.0 if n in (2, 5) else 0.1) if s < 6 else 0.5) for s in range(1, 9) for n in range(8)]
     cells = spark.createDataFrame(rows, "graph_id string, step int, node int, p double")
