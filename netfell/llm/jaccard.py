@@ -256,9 +256,9 @@ def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFr
     blocks = scratch.write(text_blocks(docs), "blocks", "none")
 
     def distinct_keys(b: _Block) -> tuple[np.ndarray, np.ndarray]:
-        """The block's keys and, for each, 24 bits of the set that alone has it, or 0."""
+        """The block's keys and, for each, the hash of the set that alone has it, or 0."""
         order = np.argsort(b.keys, kind="stable")
-        flat, mark = b.keys[order], (b.node >> np.uint64(40) | _ONE)[b.whose[order]]
+        flat, mark = b.keys[order], np.maximum(b.node, _ONE)[b.whose[order]]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         return flat[first], np.where(np.diff(np.append(first, len(flat))) > 1, 0, mark[first])
 

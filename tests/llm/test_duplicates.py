@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,33 @@ def test_whole_passages_of_short_and_middling_sentences(spark):
     got = {r.doc_id: r for r in substring.remove(df, whole=True).collect()}
     assert {d: r.n_removed for d, r in got.items()} == {0: 0, 1: 14, 2: 14, 10: 0, 11: 2, 12: 2, 20: 0, 21: 0, 30: 0, 31: 0}
     assert all(got[d].text == f"{prose(700 + d, 4)}\n{prose(710 + d, 3)}" for d in (1, 2)) and got[0].text == rows[0][1]
+
+
+def test_sets_whose_hashes_begin_alike_are_linked(spark, monkeypatch):
+    rows = [(1, prose(900, 40), "en", "s", 1), (2, prose(900, 40) + " Tail two.", "en", "s", 1)]
+    plain = jaccard._Block.__init__
+
+    def alike_marks(self, *args):
+        plain(self, *args)
+        self.node = self.node & np.uint64((1 << 40) - 1)  # as two different sets whose top 24 bits are equal
+
+    monkeypatch.setattr(jaccard._Block, "__init__", alike_marks)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {}
+
+    def exchange(blocks, keys, answer, scratch, name):
+        found["keys"], found["answer"] = keys, answer
+        raise StopIteration
+
+    monkeypatch.setattr(jaccard, "exchange", exchange)
+    with pytest.raises(StopIteration):
+        jaccard.nodes(df, jaccard.Scratch(spark, "marks"), jaccard.WIDTH, jaccard.PERCENT)
+    sent = []
+    for doc, text, *_ in rows:
+        batch = pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([text])], ["doc_id", "text"])
+        sent.append(found["keys"](jaccard._payload([batch]))[1])
+    common = np.intersect1d(sent[0][0], sent[1][0])
+    key, number = (np.concatenate(x) for x in zip(*sent, strict=True))
+    order = np.argsort(key, kind="stable")
+    said, _ = found["answer"](1, key[order], blockexchange.unpack_small(blockexchange.pack_small(number))[order])
+    assert len(common) and set(key[order][said == 1].tolist()) == set(common.tolist())
