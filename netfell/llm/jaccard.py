@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import buffer, sizes, slices
-from netfell.llm.blockexchange import BLOCKS, answers, blob_batches, block_rows, exchange
+from netfell.llm.blockexchange import BLOCKS, Answer, answers, block_rows, exchange
 from netfell.llm.blockpairs import block_pairs, groups
 from netfell.llm.words import mix, words
+from netfell.llm.workers import fresh
 from netfell.operators.components import component_labels
 from netfell.scratch import Scratch
 
@@ -242,6 +243,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
             if held:
                 yield _payload(held)
 
+        fresh()
         yield from block_rows(TaskContext.get().partitionId(), payloads())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
@@ -250,7 +252,6 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """A row for each document: doc_id, n_shingles, node (its set), first_id (the least doc_id with that set), and for
     one document of each set that shares a sketch with another set: the shared sketches' keys, and the set."""
-    spark = docs.sparkSession
     least, most = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     base, none = (least or 0), (most or 0) - (least or 0) + 1
     blocks = scratch.write(text_blocks(docs), "blocks", "none")
@@ -266,15 +267,12 @@ def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFr
         b = _Block(payload, base, none, width, percent)
         return [(b.node[b.own], b.rank[b.own]), distinct_keys(b)]
 
-    def answer(kind: int, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, dict[str, float]]:
-        if not len(key):
-            return number, {}
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(first, len(key)))
+    def merge(kind: int, number: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The least rank of a set; the set that alone has a sketch, or 0."""
         low = np.minimum.reduceat(number, first)
-        if kind == 0:
-            return np.repeat(low, n), {}
-        return np.repeat(((low == 0) | (low != np.maximum.reduceat(number, first))).astype(np.uint64), n), {}
+        return np.where(low == np.maximum.reduceat(number, first), low, 0) if kind else low
+
+    answer = Answer(merge, lambda kind, merged, own: (merged == 0).astype(np.uint64) if kind else merged)
 
     def finish(block: int, payload: bytes, said: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         b = _Block(payload, base, none, width, percent)
@@ -299,10 +297,9 @@ def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFr
             )
 
     replies, _ = exchange(blocks, keys_of, answer, scratch, "replies")
-    with blob_batches(spark):
-        out = scratch.write(answers(blocks, replies, finish, _NODES), "nodes")
+    out = scratch.write(answers(blocks, replies, 2, finish, _NODES), "nodes")
     scratch.drop("blocks")
-    scratch.drop("replies")
+    scratch.drop("replies-1")
     return out
 
 
@@ -360,9 +357,11 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The documents without all but one of each group: the one with the least doc_id stays, and of repeated rows one.
 
-    Rows that share a doc_id stay or go together; so do rows with a null doc_id."""
+    Rows that share a doc_id and differ in text stay or go together; so do rows with a null doc_id. Of those that share
+    both, the one with the least hash of its columns (maps aside) stays."""
     kept_id, place = (f"{c}_{uuid.uuid4().hex}" for c in ("kept", "nth"))
     kept = link(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
     rest = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
-    nth = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString() and "`" not in f.name]
+    nth = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*hashed))
     return rest.withColumn(place, F.row_number().over(nth)).where(F.col(place) == 1).drop(place)

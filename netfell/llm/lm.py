@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import buffer, slices
-from netfell.llm.blockexchange import BLOCKS, answers, blob_batches, block_rows, exchange, pack_small, squeeze, unpack_parts, unpack_small, unsqueeze
+from netfell.llm.blockexchange import BLOCKS, Answer, answers, block_rows, exchange, pack_parts, pack_small, squeeze, unpack_parts, unpack_small, unsqueeze
 from netfell.llm.langid import held_out
 from netfell.llm.words import mix, words
+from netfell.llm.workers import fresh
 from netfell.scratch import Scratch
 
 #: Text of a block.
@@ -35,14 +36,11 @@ LAST_BUCKET, BINS = 40, 8
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _join(parts: list[bytes]) -> bytes:
-    return b"".join([np.array([len(parts), *map(len, parts)], "<u4").tobytes(), *parts])
-
-
 def token_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of documents: ids, which are held out, tokens of each, the block's words and each token's place in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         yield from block_rows(TaskContext.get().partitionId(), payloads(batches))
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
@@ -64,7 +62,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     def payload(held: list) -> bytes:
         ids, valid, out, n, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
         known, place = np.unique(tokens, return_inverse=True)
-        return _join([ids.astype("<i8").tobytes(), valid.astype(np.uint8).tobytes(), out.astype(np.uint8).tobytes(), n.astype("<u4").tobytes(), known.astype("<u8").tobytes(), place.astype("<u4").tobytes()])
+        return pack_parts([ids.astype("<i8").tobytes(), valid.astype(np.uint8).tobytes(), out.astype(np.uint8).tobytes(), n.astype("<u4").tobytes(), known.astype("<u8").tobytes(), place.astype("<u4").tobytes()])
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id"), 7, 2))
     return picked.mapInArrow(run, BLOCKS)
@@ -91,13 +89,10 @@ def _keys(payload: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(known, seen), (pairs, np.bincount(back[trains], minlength=len(pairs)))]
 
 
-def _answer(kind: int, keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, dict[str, float]]:
-    if not len(keys):
-        return numbers, {}
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    totals = np.add.reduceat(numbers, first)
-    more = {} if kind else {"tokens": float(totals.sum()), "words": float((totals > 0).sum())}
-    return np.repeat(totals, np.diff(np.append(first, len(keys)))), more
+_TOTALS = Answer(
+    lambda kind, numbers, first: np.add.reduceat(numbers, first),
+    sums=lambda kind, totals: {} if kind else {"tokens": float(totals.sum()), "words": float((totals > 0).sum())},
+)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -140,9 +135,9 @@ _JOINED = pa.schema([("payload", pa.binary()), ("code", pa.list_(pa.int64())), (
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     blocks = scratch.write(token_blocks(docs), "blocks", "none")
-    replies, sums = exchange(blocks, _keys, _answer, scratch, "replies")
+    replies, sums = exchange(blocks, _keys, _TOTALS, scratch, "replies")
     n, v = sums.get("tokens", 0.0), sums.get("words", 0.0)
 
     def finish(block: int, payload: bytes, said: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -152,23 +147,22 @@ def score(docs: DataFrame) -> DataFrame:
         pair = said[1][np.unique(_bigrams(known, place), return_inverse=True)[1]]
         code, count = _left_out(word[trains], context[trains], pair[trains], n, v)
         parts = [ids.tobytes(), valid.tobytes(), out.tobytes(), lengths.tobytes(), place.tobytes(), pack_small(said[0]), pack_small(pair), np.searchsorted(known, END).astype("<u4").tobytes()]
-        yield pa.RecordBatch.from_pydict({"payload": [squeeze(_join(parts))], "code": [code.tolist()], "n": [count.tolist()]}, schema=_JOINED)
-
-    with blob_batches(spark):
-        joined = scratch.write(answers(blocks, replies, finish, "payload binary, code array<long>, n array<long>"), "joined", "none")
-        scratch.drop("blocks")
-        scratch.drop("replies")
-        binned = joined.select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy("x.code").agg(F.sum("x.n").alias("n")).toPandas()  # bins, not tokens
-        weights = learn_weights(binned["code"].to_numpy(np.int64), binned["n"].to_numpy(np.float64))
-        if not n:
-            weights[:] = [0, 0, 1]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for payload in batch.column(0).to_pylist():
-                    yield _scores(unpack_parts(unsqueeze(payload)), n, v, weights)
-
-        return scratch.write(joined.select("payload").mapInArrow(run, _SCORES), "scores")
+        yield pa.RecordBatch.from_pydict({"payload": [squeeze(pack_parts(parts))], "code": [code.tolist()], "n": [count.tolist()]}, schema=_JOINED)
+
+    joined = scratch.write(answers(blocks, replies, 2, finish, "payload binary, code array<long>, n array<long>"), "joined", "none")
+    scratch.drop("blocks")
+    scratch.drop("replies-1")
+    binned = joined.select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy("x.code").agg(F.sum("x.n").alias("n")).toPandas()  # bins, not tokens
+    weights = learn_weights(binned["code"].to_numpy(np.int64), binned["n"].to_numpy(np.float64))
+    if not n:
+        weights[:] = [0, 0, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                yield _scores(unpack_parts(unsqueeze(payload.as_py())), n, v, weights)
+
+    return scratch.write(joined.select("payload").mapInArrow(run, _SCORES), "scores")
 
 
 def _scores(parts: list[bytes], n: float, v: float, weights: np.ndarray) -> pa.RecordBatch:

@@ -18,17 +18,19 @@ text are ignored by ``remove`` and kept by ``remove_from``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from netfell.llm.arrow import buffer, sizes, slices
-from netfell.llm.blockexchange import BLOCKS, answers, blob_batches, block_rows, exchange
+from netfell.llm.blockexchange import BLOCKS, Answer, answers, block_rows, exchange
 from netfell.llm.words import mix, placed_words
+from netfell.llm.workers import fresh
 from netfell.scratch import Scratch
 
 RUN, RUN_WORDS, LONG_WORDS = 3, 15, 40
@@ -108,23 +110,46 @@ def _open(payload: bytes) -> Iterator[tuple[pa.RecordBatch, Sentences]]:
 def remove(docs: DataFrame, row: str | None = None, whole: bool = False) -> DataFrame:
     """row (the column of that name as text), doc_id, text without repeated passages, n_sentences, n_removed and
     n_removed_words of every document."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
-    doc_id = F.col("doc_id").cast("long")
-    least, most = docs.agg(F.min(doc_id), F.max(doc_id)).first()
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(row).cast("string") if row else F.lit(None).cast("string")).alias("row"))
+
+    def emit(batch: pa.RecordBatch, texts: pa.Array, counts: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), texts, *counts], ["row", "doc_id", "text", "n_sentences", "n_removed", "n_removed_words"])
+
+    return _removed(picked, emit, _SCHEMA, whole)
+
+
+def remove_from(docs: DataFrame) -> DataFrame:
+    """The documents with their cleaned texts; all other columns stay as they are, whatever their types and names."""
+    names, at = docs.columns, docs.columns.index("text")
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(f"`{c.replace('`', '``')}`") for c in names)).toDF("doc_id", "text", *(f"c{i}" for i in range(len(names))))
+
+    def emit(batch: pa.RecordBatch, texts: pa.Array, counts: list[pa.Array]) -> pa.RecordBatch:
+        own = batch.columns[2:]
+        own[at] = texts
+        return pa.RecordBatch.from_arrays(own, names)
+
+    return _removed(picked, emit, docs.schema, False)
+
+
+def _removed(picked: DataFrame, emit: Callable[[pa.RecordBatch, pa.Array, list[pa.Array]], pa.RecordBatch], schema: StructType | str, whole: bool) -> DataFrame:
+    """emit(rows, their cleaned texts, counts) for all rows of picked(doc_id, text, ...), which travel with their block."""
+    scratch = Scratch(picked.sparkSession, "substring")
+    least, most = picked.agg(F.min("doc_id"), F.max("doc_id")).first()
     base, none = (least or 0), (most or 0) - (least or 0) + 1
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def payloads() -> Iterator[bytes]:
             held, size = [], 0
-            for batch in slices(batches, 2):
+            for batch in slices(batches, 1):
                 held.append(batch)
-                size += int(sizes(batch.column(2)).sum())
+                size += int(sizes(batch.column(1)).sum())
                 if size >= BLOCK_BYTES:
                     yield _write(held)
                     held, size = [], 0
             if held:
                 yield _write(held)
 
+        fresh()
         yield from block_rows(TaskContext.get().partitionId(), payloads())
 
     def ranks(batch: pa.RecordBatch) -> np.ndarray:
@@ -141,11 +166,7 @@ def remove(docs: DataFrame, row: str | None = None, whole: bool = False) -> Data
         first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else np.zeros(0, np.int64)
         return [(key[order][first], rank[order][first])]
 
-    def answer(kind: int, key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, dict[str, float]]:
-        if not len(key):
-            return rank, {}
-        first = np.flatnonzero(np.append(True, np.diff(key) != 0))
-        return np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(key)))) == rank, {}
+    answer = Answer(lambda kind, rank, first: np.minimum.reduceat(rank, first), lambda kind, least_rank, own: (least_rank == own).astype(np.uint64))
 
     def finish(block: int, payload: bytes, said: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         (known, least_rank), = keys(payload)
@@ -173,24 +194,11 @@ def remove(docs: DataFrame, row: str | None = None, whole: bool = False) -> Data
             own = slice(ends[i], ends[i + 1])
             texts[i] = data[own][keep[own]].tobytes().decode()
         count = lambda w=None: pa.array(np.bincount(s.owner[gone] if w is not None else s.owner, w, n).astype(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(texts, pa.string()), count(), count(np.ones(int(gone.sum()))), count(s.words[gone])],
-            ["row", "doc_id", "text", "n_sentences", "n_removed", "n_removed_words"],
-        )
+        return emit(batch, pa.array(texts, pa.string()), [count(), count(np.ones(int(gone.sum()))), count(s.words[gone])])
 
-    picked = docs.select((F.col(row).cast("string") if row else F.lit(None).cast("string")).alias("row"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = scratch.write(picked.mapInArrow(blocks, BLOCKS), "blocks", "none")
     replies, _ = exchange(made, keys, answer, scratch, "replies")
-    with blob_batches(spark):
-        out = scratch.write(answers(made, replies, finish, _SCHEMA), "cleaned")
+    out = scratch.write(answers(made, replies, 1, finish, schema), "cleaned")
     scratch.drop("blocks")
-    scratch.drop("replies")
+    scratch.drop("replies-1")
     return out
-
-
-def remove_from(docs: DataFrame) -> DataFrame:
-    """The documents with their cleaned texts; all other columns stay as they are."""
-    others = [c for c in docs.columns if c != "text"]
-    cleaned = remove(docs.withColumn("row", F.to_json(F.struct(*others), {"ignoreNullFields": "false"})), "row")
-    kept = cleaned.select(F.from_json("row", docs.select(*others).schema).alias("o"), "text")
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"o.`{c}`") for c in docs.columns))

@@ -279,3 +279,24 @@ def test_sets_whose_hashes_begin_alike_are_linked(spark, monkeypatch):
     order = np.argsort(key, kind="stable")
     said, _ = found["answer"](1, key[order], blockexchange.unpack_small(blockexchange.pack_small(number))[order])
     assert len(common) and set(key[order][said == 1].tolist()) == set(common.tolist())
+
+
+def test_other_columns_come_through_as_they_are(spark):
+    passage = " ".join(f"Word{i} says something of {i} once again here." for i in range(8))
+    df = spark.createDataFrame([(i, f"{prose(40 + i, 3)} {passage}") for i in range(3)] + [(7, None)], "doc_id int, text string")
+    df = df.select(
+        "doc_id", F.expr("timestamp'2024-01-01 00:00:00.123456'").alias("a time"), F.create_map(F.lit(1), F.lit("x")).alias("m"), "text",
+        F.lit(float("nan")).alias("od`d"), F.array(F.lit(1.5), F.lit(None)).alias("c0"), F.lit(b"\x00\xff").alias("b"), F.lit(12.34).cast("decimal(9,3)").alias("dec"), F.current_date().alias("row"), F.struct(F.lit(1).alias("x y")).alias("s"),
+    ).repartition(2)
+    got = substring.remove_from(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    plain = lambda d: sorted(repr(r) for r in d.drop("text").collect())
+    assert plain(got) == plain(df)
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert texts[7] is None and passage in texts[0] and all("Word3 says" not in texts[i] for i in (1, 2))
+
+
+def test_of_repeated_rows_one_stays_whatever_the_order(spark):
+    rows = [(1, prose(3, 12), f"s{i}") for i in range(5)] + [(2, prose(4, 12), "t")]
+    kept = [jaccard.one_of_each(spark.createDataFrame(own, "doc_id long, text string, source string").repartition(n), 5, 80).collect() for own, n in ((rows, 1), (rows[::-1], 3))]
+    assert sorted(map(tuple, kept[0])) == sorted(map(tuple, kept[1])) and len(kept[0]) == 2
