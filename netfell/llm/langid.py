@@ -3,11 +3,17 @@
 Each language has a byte context tree of variable order: counts of each byte after each context of up to ORDER bytes.
 A byte's probability is its share in the longest context that has been seen, where a context also gives its number of
 different followers to an escape to the next shorter one (method C), and at the end all 256 bytes are alike. The
-statistics are frozen after training, so a text's code length in a language is a sum of table entries, and the table
-for all languages is compiled once and broadcast. The language with the shortest code wins.
+statistics are frozen after training, so a text's code length in a language is a sum over its grams. The trees are
+sorted arrays of what training has seen, broadcast once; their size is that of the sample's different grams, whatever
+the number of languages and scripts. The language with the shortest code wins.
 
-Training reads a sample of whole texts whose expected number per language is the parameter ``sample_docs``; a row's
-part in it hangs on a hash of its doc_id alone. Every text is scored whole.
+Training reads a sample of whole texts whose expected number per language is the parameter ``sample_docs``, or fewer
+where they would hold more than SAMPLE_BYTES; a row's part in it hangs on a hash of its doc_id alone. Every text is
+scored whole.
+
+``predict`` names a learned language for every text with a letter. ``keep`` also takes an unknown language into
+account, whose bytes are all alike at 8 bits each: a text that no learned language describes better than that, but for
+MARGIN bits, goes, as do texts without a letter and near ties.
 
 Null text and text without a letter give ``und`` with score 0; so does every text where nothing could be learned.
 Languages that tie go to the first in alphabetical order. Repeated rows are scored each for itself; columns besides
@@ -26,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import buffer, sizes, slices
+from netfell.llm.workers import fresh
 
 ORDER = 3
-#: Expected whole texts per language that are learned from, and the most bytes of the compiled table.
-SAMPLE_DOCS, MODEL_BYTES = 500, 1 << 28
+#: Whole texts, and bytes of text, that are learned from per language: expected numbers at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 500, 4 << 20
+#: A text is in no learned language if every language's code is longer by so many bits than bytes drawn all alike.
+MARGIN = 32.0
 #: Every text begins as if after so many line ends.
 PAD = 10
 _STEP = 1 << 20
@@ -55,6 +64,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, gram (ORDER + 1 bytes as one number) and count over the texts of docs(lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in slices(batches, 1):
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -73,7 +83,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Grams and their counts for each language, from about ``sample_docs`` texts of each."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = {r["lang"]: sample_docs / r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sums = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()  # a row for each language
+    share = {r["lang"]: min(sample_docs / r["n"], SAMPLE_BYTES / max(r["bytes"], 1)) for r in sums}
     if not share:
         return {}
     shares = F.create_map(*(F.lit(x) for pair in sorted(share.items()) for x in pair))
@@ -83,72 +94,60 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[np
 
 
 class Model:
-    """The languages' context trees as one table: a row for each context and byte, a column for each language."""
+    """The languages' context trees, sparse: for each language and order the grams that training has seen with the code
+    length of their last byte, and the contexts seen with that of an escape to the next shorter one."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], most_bytes: int = MODEL_BYTES):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        orders = [self._orders(*counts[lang]) for lang in self.langs]
-        seen = sorted({PAD, *(int(b) for own in orders for b in own[0][1])})
-        self.symbol = np.zeros(256, np.int64)  # 0: a byte that training has not seen
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.n = len(seen) + 1
-        contexts = [np.unique(np.concatenate([self._code(own[k][0], k) for own in orders])) for k in range(ORDER + 1)]
-        if (size := sum(map(len, contexts)) * self.n * len(self.langs) * 4) > most_bytes:
-            raise ValueError(f"the table of {size} bytes for {len(self.langs)} languages would exceed {most_bytes} bytes")
-        self.row, total = np.zeros(1, np.int64), 1
-        for k in range(1, ORDER + 1):  # a context without a row has that of its shorter end
-            self.row = np.tile(self.row, self.n)
-            self.row[contexts[k]] = total + np.arange(len(contexts[k]))
-            total += len(contexts[k])
-        self.cost = np.stack([self._bits(own, contexts) for own in orders], axis=-1)
+        self.trees = [[self._order(*counts[lang], k) for k in range(ORDER + 1)] for lang in self.langs]
 
     @staticmethod
-    def _orders(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order k: contexts of k bytes (the latest lowest), the bytes that followed, and how often."""
-        out = []
-        for k in range(ORDER + 1):
-            short, back = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            out.append((short >> 8, short & 255, np.bincount(back, n, len(short))))
-        return out
+    def _order(gram: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Grams of k bytes and one more (the latest lowest) with code lengths; contexts of k bytes with escapes'."""
+        grams, back = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        own = np.bincount(back, n, len(grams))
+        contexts, of, kinds = np.unique(grams >> 8, return_inverse=True, return_counts=True)
+        total = np.bincount(of, own, len(contexts))
+        bits = -np.log2(own / (total + kinds)[of]), -np.log2(kinds / (total + kinds))
+        return grams.astype(np.uint32), bits[0].astype(np.float32), contexts.astype(np.uint32), bits[1].astype(np.float32)
 
-    def _code(self, context: np.ndarray, k: int) -> np.ndarray:
-        return sum((self.symbol[context >> 8 * i & 255] * self.n**i for i in range(k)), np.zeros(len(context), np.int64))
-
-    def _bits(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], contexts: list[np.ndarray]) -> np.ndarray:
-        """One language's code lengths for every context of any language and every symbol."""
-        rows: list[np.ndarray] = []
-        for k, (context, byte, n) in enumerate(orders):
-            if k:
-                shorter = rows[-1][np.searchsorted(contexts[k - 1], contexts[k] % self.n ** (k - 1))]
-            else:
-                shorter = np.full((1, self.n), 1 / 256)
-            at = np.searchsorted(contexts[k], self._code(context, k))
-            total, kinds = np.bincount(at, n, len(contexts[k])), np.bincount(at, minlength=len(contexts[k]))
-            p = shorter * np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)[:, None]
-            p[at, self.symbol[byte]] = n / (total + kinds)[at]
-            rows.append(p)
-        return -np.log2(np.concatenate(rows)).ravel().astype(np.float32)
+    @staticmethod
+    def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+        return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+
+    def gram_bits(self, tree: list, gram: np.ndarray) -> np.ndarray:
+        """Code length in one language of the last byte of each gram of ORDER + 1 bytes."""
+        cost, open_ = np.zeros(len(gram)), np.arange(len(gram))
+        for k in range(ORDER, -1, -1):
+            grams, bits, contexts, escape = tree[k]
+            own = gram[open_] & np.uint32((1 << 8 * (k + 1)) - 1)
+            at, seen = self._find(grams, own)
+            cost[open_[seen]] += bits[at[seen]]
+            open_, own = open_[~seen], own[~seen]
+            at, seen = self._find(contexts, own >> np.uint32(8))
+            cost[open_[seen]] += escape[at[seen]]
+        cost[open_] += 8
+        return cost
 
     def bits(self, column: pa.Array) -> np.ndarray:
         """Code length of each value in each language, in bits."""
         data, starts = _padded(column)
         out = np.zeros((len(column), len(self.langs)))
-        s, first = self.n, starts[:-1] + ORDER
-        empty = starts[1:] == first
+        first = starts[:-1] + ORDER
         for a in range(0, len(data), _STEP):
-            own = self.symbol[data[max(0, a - ORDER) : a + _STEP]]
+            own = data[max(0, a - ORDER) : a + _STEP].astype(np.uint32)
             skip = a - max(0, a - ORDER)
-            place = np.arange(a, a + len(own) - skip)
-            context = np.zeros(len(own), np.int64)
-            for k in range(1, ORDER + 1):
-                context[k:] += own[: len(own) - k] * s ** (k - 1)
-            cost = self.cost[self.row[context[skip:]] * s + own[skip:]].astype(np.float64)
+            gram = own[skip:].copy()
+            for k in range(1, min(ORDER, len(own) - 1) + 1):
+                gram[max(0, k - skip) :] |= own[max(0, skip - k) : len(own) - k] << np.uint32(8 * k)
+            place = np.arange(a, a + len(gram))
             owner = np.searchsorted(starts, place, side="right") - 1
-            cost[place < first[owner]] = 0.0
+            inside = place >= first[owner]
+            owner, (known, back) = owner[inside], np.unique(gram[inside], return_inverse=True)
             begins = np.flatnonzero(np.diff(owner, prepend=-1))
-            if len(begins):
-                out[owner[begins]] += np.add.reduceat(cost, begins)
-        out[empty] = 0.0
+            for i, tree in enumerate(self.trees if len(begins) else ()):
+                out[owner[begins], i] += np.add.reduceat(self.gram_bits(tree, known)[back], begins)
         return out
 
 
@@ -158,9 +157,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id long, lang_pred string, score double, bits_per_byte double"
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    shared = spark.sparkContext.broadcast(model)  # at most MODEL_BYTES
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         own = shared.value
         for batch in slices(batches, 1):
             letters = batch.column(2).to_numpy(zero_copy_only=False)
@@ -192,16 +192,20 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model | None, least_score: float = 0.5) -> DataFrame:
-    """The rows, with all columns, whose text has a language that the model gives at least this score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+    """The rows, with all columns, whose text is in a language that the model gives at least this score among the learned
+    ones, and that describes the text better than bytes drawn all alike, but for MARGIN bits. Without a model, none."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     text, letters = docs.columns.index("text"), f"letters_{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         own = shared.value
         for batch in slices(batches, text) if own is not None else ():
             bits = own.bits(batch.column(text).fill_null(""))
-            share = 1 / np.exp2(np.minimum(bits.min(axis=1)[:, None] - bits, 0.0)).sum(axis=1)
+            best = bits.min(axis=1)
+            share = 1 / np.exp2(np.minimum(best[:, None] - bits, 0.0)).sum(axis=1)
             use = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (share >= least_score)
+            use &= best <= 8.0 * sizes(batch.column(text)) + MARGIN
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(use))
 
     marked = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

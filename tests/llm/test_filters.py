@@ -137,3 +137,35 @@ def test_model_has_learnt_its_table():
     logit = lambda u: w[-1] + sum(w[b] for b in urlfilter.buckets(*urlfilter.split_url(u)))
     assert all(logit(u) >= 0 for u in urlfilter.BLOCKED) and all(logit(u) < 0 for u in urlfilter.ALLOWED)
     assert logit("http://casino-slots.example.biz/jackpot/bonus") > 0 > logit("https://news.example.org/en/library.html")
+
+
+FOREIGN = [
+    "".join("bcdfghjklmnpqrstvwxz"[(i * i * 7 + i * 3 + i // 5) % 20] for i in range(300)),
+    "日本語の文章はこのように書かれています。これは学習された言語ではありません。",
+    "Litwo! Ojczyzno moja! ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+    "中文文本由汉字组成，与学习过的语言完全不同，因此应当被拒绝。",
+]
+
+
+def test_unlearned_languages_and_noise_go_clean_texts_stay(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = langid.train(docs)
+    odd_ones = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(FOREIGN)], "doc_id long, text string")
+    kept = langid.keep(docs.select("doc_id", "text").unionByName(odd_ones), model)
+    assert kept.where("doc_id < 0").count() == 0
+    good = docs.join(labels.where("quality = 1"), "doc_id").where(F.col("text").rlike(r"\p{L}"))
+    assert kept.join(good.select("doc_id"), "doc_id", "left_semi").count() == good.count()
+
+
+def test_many_languages(spark):
+    """Twenty languages of scripts of their own: the model's size follows what was seen, and each is told apart."""
+    rows = []
+    for lang in range(20):
+        letters = [chr(0x400 + 40 * lang + i) for i in range(30)]
+        for i in range(12):
+            rows.append((100 * lang + i, " ".join("".join(letters[(j * j + i * 7 + k * (j % 5 + 1)) % 30] for k in range(6)) for j in range(40)), f"l{lang:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs).join(docs, "doc_id").collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(rows)
+    model = langid.train(docs)
+    assert sum(x.nbytes for tree in model.trees for order in tree for x in order) < 40 * sum(len(t.encode()) for _, t, _ in rows)
