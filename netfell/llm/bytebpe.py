@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import slices
+from netfell.llm.workers import kept
 
 #: Characters of a chunk, and least characters that it shares with the next.
 CHUNK, OVERLAP = 1 << 15, 256
@@ -62,9 +62,9 @@ class RankEncoder:
         return b"".join(map(known.__getitem__, pieces))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> RankEncoder:
-    return RankEncoder(path, pattern)
+    """This worker's encoder, kept until the worker runs another operator."""
+    return kept(("bytebpe", path, pattern), lambda: RankEncoder(path, pattern))
 
 
 def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:

@@ -12,13 +12,15 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-#: Parts kept per Python worker; beyond it the table starts anew. About 150 bytes each.
-KEPT_PARTS = 1_800_000
+from netfell.llm.workers import kept, trim
+
+#: Bytes of parts and their ids kept per Python worker, counting PART_BYTES for each part's objects and its place in the
+#: table; beyond it the table starts anew. A part of more than KEPT_CHARS characters is not kept.
+KEPT_BYTES, PART_BYTES, KEPT_CHARS = 128 << 20, 200, 256
 
 #: Longer texts are encoded a segment at a time.
 SEGMENT = 1 << 20
@@ -71,6 +73,7 @@ class PieceEncoder:
         self.joint = _JOINT.encode().decode("latin-1").translate(self.letters)
         self.dtype = np.dtype(dtype)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if any(t and len(t) > SEGMENT for t in texts):
@@ -78,8 +81,9 @@ class PieceEncoder:
         return self._encode(texts)
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > KEPT_PARTS:
-            self.known.clear()
+        if self.held > KEPT_BYTES:
+            self.known, self.held = {}, 0
+            trim()
         split, get, learn = self._split_lower if self.lower else self._split_spaced, self.known.get, set()
         parts = [split(t) if t else [] for t in texts]
         found = [list(map(get, own)) for own in parts]
@@ -89,7 +93,13 @@ class PieceEncoder:
                 learn.update([p for p, ids in zip(own, got, strict=True) if ids is None])
         if learn:
             self._learn(list(learn))
-        return [b"".join(map(get, own) if some else got) for own, got, some in zip(parts, found, short, strict=True)]
+        out = [b"".join(map(get, own) if some else got) for own, got, some in zip(parts, found, short, strict=True)]
+        for p in learn:
+            if len(p) > KEPT_CHARS:
+                del self.known[p]
+            else:
+                self.held += PART_BYTES + len(p)
+        return out
 
     @staticmethod
     def _split_lower(text: str) -> list[str]:
@@ -145,7 +155,6 @@ class PieceEncoder:
         return zip(pieces, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False)
 
 
-@lru_cache(maxsize=2)
 def encoder(vocabulary: str, dtype: str = "<u2") -> PieceEncoder:
-    """This worker's encoder, kept between tasks."""
-    return PieceEncoder(vocabulary, dtype)
+    """This worker's encoder, kept until the worker runs another operator."""
+    return kept(("piececache", vocabulary, dtype), lambda: PieceEncoder(vocabulary, dtype))
