@@ -40,7 +40,7 @@ from netfell.operators.components import component_labels
 from netfell.scratch import Scratch
 
 WIDTH, PERCENT = 4, 85
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Members of a sketch that are compared at a time.
 BLOCK = 2048
 _NODES = "doc_id long, n_shingles long, node long, first_id long, keys array<long>, shingles binary, sketch binary"

@@ -41,7 +41,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 500, 4 << 20
 MARGIN = 32.0
 #: Every text begins as if after so many line ends.
 PAD = 10
-_STEP = 1 << 20
+#: Bytes scored at a time.
+_STEP = 1 << 19
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

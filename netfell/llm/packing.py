@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from netfell.llm.arrow import slices
 from netfell.llm.piececache import encoder
+from netfell.llm.workers import fresh
 from netfell.scratch import Scratch
 
 SIZE = 1024
@@ -166,6 +167,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     places = Places(plan(histogram), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy() + batch.column("before").to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

@@ -20,7 +20,7 @@ from netfell.llm.workers import kept, trim
 
 #: Bytes of parts and their ids kept per Python worker, counting PART_BYTES for each part's objects and its place in the
 #: table; beyond it the table starts anew. A part of more than KEPT_CHARS characters is not kept.
-KEPT_BYTES, PART_BYTES, KEPT_CHARS = 128 << 20, 200, 256
+KEPT_BYTES, PART_BYTES, KEPT_CHARS = 112 << 20, 200, 256
 
 #: Longer texts are encoded a segment at a time.
 SEGMENT = 1 << 20
