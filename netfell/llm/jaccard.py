@@ -6,7 +6,9 @@ into more than d parts, some part is the same in both. Each part is sketched as
 hashes; sets whose sizes fall in one band or two neighbouring bands (all that can be alike do) use the same parts, and
 join on equal sketches. Parts with fewer than two shingles say little and are left out where the parts with more are
 themselves more than d; a set with too few of those also joins on its small parts, and one with too few parts of any
-kind on its single shingles, so no link can be missed. Candidates are verified: first the Hamming distance of sketches
+kind on its single shingles, so no link can be missed. As all but d of a set's parts, small ones included, are in any set
+alike, a set that shares fewer of them with the others than that does not join in that band at all: common passages
+bring no candidates. Candidates are verified: first the Hamming distance of sketches
 of single bits, which cannot exceed the number of differing shingles, then the sets themselves.
 
 Equal sets are one node from the start. Sketches meet by ``blockexchange``, so that a sketch found in many documents
@@ -102,8 +104,13 @@ class Bands:
         return (d + 2 + d // 4 if d else 1), d
 
 
-def _sketches(sets: np.ndarray, size: np.ndarray, group: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The join keys of sets that are not empty, each for the group given for it, and whose they are."""
+#: Kinds of join keys: of a part that says enough, of a part that is only counted, of a single shingle.
+JOINS, COUNTS, ALONE = 0, 1, 2
+
+
+def _sketches(sets: np.ndarray, size: np.ndarray, group: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The join keys of sets that are not empty, each for the group given for it, whose they are, and their kinds; and
+    for each set how many of its parts a set alike must share."""
     known, back = np.unique(group, return_inverse=True)
     k, d = (np.array(x, np.int64)[back] for x in zip(*(bands.parts(int(g)) for g in known), strict=True))
     owner = np.repeat(np.arange(len(size)), size)
@@ -113,28 +120,32 @@ def _sketches(sets: np.ndarray, size: np.ndarray, group: np.ndarray, bands: Band
     n = np.diff(np.append(first, len(sets)))
     own = owner[first]
     key = mix(mix(np.bitwise_xor.reduceat(mix(sets ^ _B), first)) + part[first] * _A + apart[own])
-    heavy = n > 1
+    heavy, parts = n > 1, np.bincount(own, minlength=len(size))
     weak = np.bincount(own[heavy], minlength=len(size)) <= d
-    single = np.bincount(own, minlength=len(size)) <= d
-    light, alone = ~heavy & weak[own], single[owner]
-    keys = [key[heavy], mix(key[light] ^ _LIGHT), mix(mix(sets[alone] ^ _SINGLE) + apart[owner[alone]])]
-    return np.concatenate(keys), np.concatenate([own[heavy], own[light], owner[alone]])
+    alone = (parts <= d)[owner]
+    key = np.where(heavy, key, mix(key ^ _LIGHT))
+    keys = [key, mix(mix(sets[alone] ^ _SINGLE) + apart[owner[alone]])]
+    kinds = [np.where(heavy | weak[own], JOINS, COUNTS), np.full(int(alone.sum()), ALONE)]
+    return np.concatenate(keys), np.concatenate([own, owner[alone]]), np.concatenate(kinds), np.maximum(parts - d, 0)
 
 
-def sketch_keys(sets: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def sketch_keys(sets: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The join keys of sets (their hashes in a row, ascending in each), for the groups of their own band and the one
-    below; and whose they are, in ascending order."""
+    below; whose they are, in ascending order, as twice the set, and one more in the lower group; their kinds; and how
+    many parts a set alike shares in each group."""
     if not len(size):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes, back = np.unique(size, return_inverse=True)
     band = np.array([bands.band(int(n)) for n in sizes])[back]
-    upper = band > 0
-    keys, owner = _sketches(sets, size, band, bands)
-    if upper.any():
-        more, whose = _sketches(sets[np.repeat(upper, size)], size[upper], band[upper] - 1, bands)
-        keys, owner = np.concatenate([keys, more]), np.concatenate([owner, np.flatnonzero(upper)[whose]])
+    need = np.zeros(2 * len(size), np.int64)
+    keys, owner, kinds, need[::2] = _sketches(sets, size, band, bands)
+    owner, upper = 2 * owner, np.flatnonzero(band > 0)
+    if len(upper):
+        use = np.repeat(band > 0, size)
+        more, whose, kind, need[2 * upper + 1] = _sketches(sets[use], size[upper], band[upper] - 1, bands)
+        keys, owner, kinds = np.concatenate([keys, more]), np.concatenate([owner, 2 * upper[whose] + 1]), np.concatenate([kinds, kind])
     order = np.argsort(owner, kind="stable")
-    return keys[order], owner[order]
+    return keys[order], owner[order], kinds[order], need
 
 
 def bit_sketch(own: np.ndarray, bits: int) -> np.ndarray:
@@ -215,8 +226,14 @@ class _Block:
         picked = np.sort(self.own)  # the first of each different set
         use = np.zeros(len(self.size), bool)
         use[picked] = True
-        self.keys, whose = sketch_keys(self.flat[np.repeat(use, self.size)], self.size[picked], Bands(percent))
-        self.whose = picked[whose]
+        self.keys, self.slot, self.kind, self.need = sketch_keys(self.flat[np.repeat(use, self.size)], self.size[picked], Bands(percent))
+        self.whose = picked[self.slot // 2]
+
+    def joining(self, shared: np.ndarray) -> np.ndarray:
+        """Which keys the sets join on, given which keys other sets have too: none of a set's keys in a group where it
+        shares fewer parts than with any set alike."""
+        counted = np.bincount(self.slot[shared & (self.kind != ALONE)], minlength=len(self.need))
+        return shared & (self.kind != COUNTS) & (counted >= self.need)[self.slot]
 
     def set_of(self, i: int) -> np.ndarray:
         return self.flat[self.ends[i] - self.size[i] : self.ends[i]]
@@ -283,7 +300,8 @@ def nodes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFr
             least_rank = np.where(b.size > 0, said[0][at], b.rank)
         keys: list[list[int]] = [[] for _ in b.ids]
         sets, bits = [b""] * len(b.ids), [b""] * len(b.ids)
-        shared = np.flatnonzero((said[1][np.searchsorted(known, b.keys)] == 1) & (b.rank == least_rank)[b.whose]) if len(known) else np.zeros(0, np.int64)
+        shared = b.joining(said[1][np.searchsorted(known, b.keys)] == 1) if len(known) else np.zeros(0, bool)
+        shared = np.flatnonzero(shared & (b.rank == least_rank)[b.whose])
         owners, first = np.unique(b.whose[shared], return_index=True)
         for i, some in zip(owners.tolist(), np.split(shared, first[1:]), strict=False):
             keys[i] = np.unique(b.keys[some]).view(np.int64).tolist()
