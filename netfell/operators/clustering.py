@@ -246,12 +246,10 @@ def critical(labelled: DataFrame) -> DataFrame:
 
 def critical_nodes(cells: DataFrame, k_min: int = 2, k_max: int = 10) -> DataFrame:
     """From participation to critical nodes: crop, weight early steps, cluster with the best k, take the cluster with the
-    largest mean sum. A graph that ends with one cluster has none."""
+    largest mean sum. In a graph that ends with one cluster that is all of them."""
     weighted = profiles.fill(profiles.weight_linear(profiles.crop_longest(cells, "all")))
     labels = optimal_clusters(profiles.feature_vectors(weighted), k_min, k_max)
-    flagged = critical(labels.join(profiles.node_sums(weighted), ["graph_id", "node"]).select("graph_id", "node", "label", "total"))
-    one = labels.groupBy("graph_id").agg((F.countDistinct("label") > 1).alias("several"))
-    return flagged.join(F.broadcast(one), "graph_id").select("graph_id", "node", "label", (F.col("is_critical") & F.col("several")).alias("is_critical"))
+    return critical(labels.join(profiles.node_sums(weighted), ["graph_id", "node"]).select("graph_id", "node", "label", "total"))
 
 
 def critical_nodes_by_area(cells: DataFrame) -> DataFrame:

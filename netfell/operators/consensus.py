@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 
 def outliers(attacks: DataFrame, method: str = "iqr", iqr_k: float = 1.5, z_thresh: float = 3.0) -> DataFrame:
     """attacks(subject, final_attacks) with excluded: above the upper fence, or z_thresh population deviations above
-    the mean. Subjects without a number stay in."""
+    the mean, both over finite numbers alone. Subjects without a finite number stay in."""
+    value = F.col("final_attacks").cast("double")
+    sound = F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+    finite = attacks.where(sound)
     if method == "iqr":
-        q = attacks.agg(F.percentile("final_attacks", [0.25, 0.75]).alias("q"))
+        q = finite.agg(F.percentile("final_attacks", [0.25, 0.75]).alias("q"))
         cut = q.select((F.col("q")[1] + iqr_k * (F.col("q")[1] - F.col("q")[0])).alias("cut"))
     elif method == "zscore":
-        cut = attacks.agg((F.avg("final_attacks") + z_thresh * F.stddev_pop("final_attacks")).alias("cut"))
+        cut = finite.agg((F.avg("final_attacks") + z_thresh * F.stddev_pop("final_attacks")).alias("cut"))
     else:
         raise ValueError(f"no such method: {method}")
-    return attacks.crossJoin(F.broadcast(cut)).withColumn("excluded", F.coalesce(F.col("final_attacks") > F.col("cut"), F.lit(False))).drop("cut")
+    return attacks.crossJoin(F.broadcast(cut)).withColumn("excluded", F.coalesce(sound & (value > F.col("cut")), F.lit(False))).drop("cut")
 
 
 def votes(flags: DataFrame, denominator: str = "valid") -> DataFrame:

@@ -14,6 +14,7 @@ from netfell.functions.expressions import binarised, finite_or_zero, hazen, wils
 from netfell.operators import clustering, consensus, convergence, giant, graph, hubs, percolation, profiles, reports
 from netfell.plans import graphs, oracle
 from netfell.scratch import Scratch
+from netfell.sources import files, sinks
 from netfell.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +92,8 @@ def edge_density(spark, sf_dir):
 @query
 def induced_subgraph(spark, sf_dir):
     edges, nodes = graphs.one_year(spark, sf_dir)
-    return graph.induced(edges, nodes.where("node % 3 <> 0")).select("graph_id", "u", "v", r6("w"))
+    inside = table(spark, sf_dir, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").cast("int").alias("node"))
+    return graph.induced(edges, nodes.join(F.broadcast(inside), "node", "left_semi")).select("graph_id", "u", "v", r6("w"))
 
 
 @query
@@ -526,5 +528,86 @@ def heatmap_panels(spark, sf_dir):
     return reports.heatmap(graph.threshold_proportional(edges, nodes, 0.05), nodes, 4).select("graph_id", "u", "v", r6("w"), "row", "col")
 
 
+# written tables, read back by their readers
+
+
+def _stored(spark: SparkSession) -> Scratch:
+    return Scratch(spark, "stored")
+
+
+@query
+def stored_edge_list(spark, sf_dir):
+    path = _stored(spark).path("edges.csv")
+    sinks.text_table(graphs.user_pairs(spark, sf_dir).where("v IS NOT NULL").select("u", "v", "w"), path, ["u", "v", "w"])
+    return graph.graph_from_pairs(files.edge_pairs(spark, path, "users"))[0].select("graph_id", "u", "v", r6("w"))
+
+
+@query
+def stored_matrices(spark, sf_dir):
+    path = _stored(spark).path("participation")
+    sinks.matrices(participation(spark, sf_dir), path)
+    return spark.read.parquet(path).select("graph_id", "step", "node", "n", "k", r6("p"))
+
+
+@query
+def stored_bundle(spark, sf_dir):
+    path, (edges, nodes) = _stored(spark).path("mean"), graphs.trade(spark, sf_dir)
+    sinks.bundle({"adjacency": edges, "labels": nodes}, path)
+    return graph.strengths(spark.read.parquet(f"{path}/adjacency"), spark.read.parquet(f"{path}/labels")).select("graph_id", "node", F.col("degree").cast("long").alias("degree"), r6("strength"))
+
+
+@query
+def stored_outliers(spark, sf_dir):
+    """The adjacency files of the subjects that an outlier table keeps."""
+    path, flagged = _stored(spark).path("outliers.csv"), outliers_iqr(spark, sf_dir)
+    shown = flagged.select(F.concat("subject", F.lit("_ConvHW.mat")).alias("subject"), "final_attacks", "excluded")
+    sinks.outlier_table(shown, path)
+    read = spark.read.option("header", True).csv(path)
+    listed = _stored(spark).path("inclusion.csv")
+    sinks.text_table(read.select(F.col("subject").alias("subject_file"), F.col("excluded")), listed, ["subject_file"])
+    return files.included_subjects(spark, listed)
+
+
+@query
+def stored_consensus(spark, sf_dir):
+    path = _stored(spark).path("consensus.csv")
+    sinks.consensus_vector(_votes(spark, sf_dir, "valid"), path)
+    return spark.read.option("header", True).schema("node int, score double").csv(path).select("node", r6("score"))
+
+
+@query
+def stored_top_nodes(spark, sf_dir):
+    """Indices written as one column, read back and given their labels."""
+    path = _stored(spark).path("indices.txt")
+    sinks.text_table(_hub_flags(spark, sf_dir).where("is_top").select("node").distinct(), path, ["node"], header=False)
+    return reports.labelled(files.indices(spark, path), graphs.nations(spark, sf_dir))
+
+
+@query
+def stored_labels(spark, sf_dir):
+    path = _stored(spark).path("labels.csv")
+    sinks.text_table(graphs.nations(spark, sf_dir).select("label"), path, ["label"])
+    return files.labels(spark, path)
+
+
+@query
+def stored_coordinates(spark, sf_dir):
+    """Suppliers' numbers and nations as places, written in three columns parted by tabs."""
+    path = _stored(spark).path("places.txt")
+    places = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("x"), F.col("s_nationkey").cast("long").alias("y"), F.lit(0).cast("long").alias("z"))
+    sinks.text_table(places, path, ["x"], header=False, sep="\t")
+    return files.coordinates(spark, path)
+
+
+@query
+def stored_files(spark, sf_dir):
+    """Graphs written as a file each, listed by pattern in order of their names."""
+    scratch = _stored(spark)
+    for year in (1994, 1995, 1996):
+        sinks.text_table(graphs.trade(spark, sf_dir)[0].where(F.col("graph_id") == f"trade_{year}").select("u", "v", "w"), scratch.path(f"all/y{year}_trade.csv"), ["u", "v"])
+    listed = files.files(spark, scratch.path("all/y199*_trade.csv"), "part-*.csv")
+    return listed.select(F.regexp_extract("path", "/(y[0-9]+_trade)", 1).alias("graph"), files.subject_prefix(F.regexp_extract("path", "/(y[0-9]+_trade)", 1)).alias("prefix")).distinct()
+
+
 def oracles() -> dict[str, str]:
     return {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}

@@ -56,11 +56,11 @@ def user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str, nodes: int = 12) -> DataFrame:
     """A matrix for each event type: steps are days from the first, nodes groups of users, p the share of events with a
-    value above 50; NULL where a group has fewer than two events that day, and on every eleventh day."""
+    value above 50; NULL where a group has fewer than two events that day."""
     events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), (F.col("user_id") % nodes).cast("int").alias("node"), "value")
     first = events.agg(F.min("day").alias("first"))
     rows = events.crossJoin(F.broadcast(first)).select(F.col("event_type").alias("graph_id"), (F.datediff("day", "first") + 1).alias("step"), "node", "value")
-    share = rows.where("step % 11 <> 0").groupBy("graph_id", "step", "node").agg((F.sum(F.when(F.col("value") > 50, 1).otherwise(0)) / F.count("*")).alias("p"), F.count("*").alias("n"))
+    share = rows.groupBy("graph_id", "step", "node").agg((F.sum(F.when(F.col("value") > 50, 1).otherwise(0)) / F.count("*")).alias("p"), F.count("*").alias("n"))
     share = share.where("n >= 2").drop("n")
     last = rows.groupBy("graph_id").agg(F.max("step").alias("last"))
     grid = last.select("graph_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("step")).select("graph_id", "step", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("node"))

@@ -76,7 +76,7 @@ islands AS (SELECT *, sum(CASE WHEN is_plateau THEN 0 ELSE 1 END) OVER (PARTITIO
 runs AS (SELECT *, CAST(sum(CASE WHEN is_plateau THEN 1 ELSE 0 END) OVER (PARTITION BY graph_id, island ORDER BY chunk) AS INT) AS run FROM islands)"""
 
 ACTIVITY = """ev AS (SELECT event_type AS graph_id, CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) + 1 AS INT) AS step, CAST(user_id % 12 AS INT) AS node, value FROM events),
-share AS (SELECT graph_id, step, node, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS p FROM ev WHERE step % 11 <> 0 GROUP BY ALL HAVING count(*) >= 2),
+share AS (SELECT graph_id, step, node, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS p FROM ev GROUP BY ALL HAVING count(*) >= 2),
 ends AS (SELECT graph_id, max(step) AS m FROM ev GROUP BY 1),
 activity AS (SELECT e.graph_id, CAST(s AS INT) AS step, CAST(n AS INT) AS node, p FROM ends e JOIN range(1, 10000) t(s) ON s <= m CROSS JOIN range(12) z(n) LEFT JOIN share x ON x.graph_id = e.graph_id AND x.step = s AND x.node = n)"""
 
@@ -121,7 +121,7 @@ SQL: dict[str, str] = {
     "self_loop_filter": f"WITH {PAIRS} SELECT u = v AS is_loop, count(*) AS n FROM sound GROUP BY 1",
     "degree_strength": f"WITH {TRADE}, {strongest(0.1)}, {STRENGTH.format(g='kept')} SELECT graph_id, node, degree, {_R('strength', 'strength')} FROM strength",
     "edge_density": f"WITH {TRADE} SELECT graph_id, CAST(25 AS BIGINT) AS n_nodes, count(u) AS n_edges, {_R('count(u) / 300.0::DOUBLE', 'density')} FROM (SELECT DISTINCT graph_id FROM nodes) LEFT JOIN trade USING (graph_id) GROUP BY 1",
-    "induced_subgraph": f"WITH {TRADE} SELECT graph_id, u, v, {_R('w', 'w')} FROM trade WHERE graph_id = 'trade_1995' AND u % 3 <> 0 AND v % 3 <> 0",
+    "induced_subgraph": f"WITH {TRADE}, inside AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey <> 0) SELECT graph_id, u, v, {_R('w', 'w')} FROM trade WHERE graph_id = 'trade_1995' AND u IN (SELECT node FROM inside) AND v IN (SELECT node FROM inside)",
     "dense_matrix": f"WITH {KEPT95}, e AS (SELECT u, v, w FROM kept UNION ALL SELECT v, u, w FROM kept) SELECT a.graph_id, a.node AS u, b.node AS v, {_R('coalesce(w, 0.0)', 'w')} FROM own a JOIN own b ON true LEFT JOIN e ON e.u = a.node AND e.v = b.node",
     "matrix_range": f"WITH {TRADE} SELECT graph_id, {_R('least(coalesce(min(w), 0.0), 0.0)', 'low')}, {_R('greatest(coalesce(max(w), 0.0), 0.0)', 'high')} FROM (SELECT DISTINCT graph_id FROM nodes) LEFT JOIN trade USING (graph_id) GROUP BY 1",
     "inverse_lengths": f"WITH {BRANDS} SELECT graph_id, u, v, {_R('1 / w', 'w')} FROM copurchase",
@@ -185,3 +185,16 @@ SQL: dict[str, str] = {
     "binary_edges": f"WITH {BRANDS} SELECT graph_id, u, v, CAST(w > (SELECT avg(w) FROM copurchase) AS DOUBLE) AS w FROM copurchase",
     "heatmap_panels": f"WITH {TRADE}, {strongest(0.05)}, e AS (SELECT graph_id, u, v, w FROM kept UNION ALL SELECT graph_id, v, u, w FROM kept), g AS (SELECT graph_id, row_number() OVER (ORDER BY graph_id) - 1 AS i FROM (SELECT DISTINCT graph_id FROM nodes)) SELECT a.graph_id, a.node AS u, b.node AS v, {_R('coalesce(w, 0.0)', 'w')}, CAST(i // 4 AS INT) AS row, CAST(i % 4 AS INT) AS col FROM nodes a JOIN nodes b USING (graph_id) JOIN g USING (graph_id) LEFT JOIN e ON e.graph_id = a.graph_id AND e.u = a.node AND e.v = b.node",
 }
+
+#: Tables that were written and read back answer as if they had not been.
+SQL |= {
+    "stored_edge_list": SQL["edge_minmax_merge"],
+    "stored_matrices": SQL["participation_matrix"],
+    "stored_bundle": f"WITH {TRADE}, {STRENGTH.format(g='trade')} SELECT graph_id, node, degree, {_R('strength', 'strength')} FROM strength",
+    "stored_outliers": f"SELECT subject || '_broadband_psi_adj.mat' AS file FROM ({SQL['outliers_iqr']}) WHERE NOT excluded",
+    "stored_consensus": f"SELECT node, score FROM ({SQL['consensus_votes_valid']})",
+    "stored_top_nodes": f"WITH {HUBS} SELECT node AS index_0based, CAST(node + 1 AS INT) AS index_1based, label FROM (SELECT DISTINCT node FROM hub WHERE is_top) JOIN nations USING (node)",
+    "stored_labels": "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS node, n_name AS label FROM nation",
+    "stored_coordinates": "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INT) AS node, CAST(s_suppkey AS DOUBLE) AS x, CAST(s_nationkey AS DOUBLE) AS y, 0.0::DOUBLE AS z FROM supplier",
+    "stored_files": "SELECT 'y' || y || '_trade' AS graph, 'y' || y AS prefix FROM (SELECT unnest([1994, 1995, 1996]) AS y)",
+}

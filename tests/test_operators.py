@@ -238,3 +238,15 @@ def test_rounds_agree_with_one_batch(spark):
     assert stops.first()[1:] == (None, 900, False)
     key = lambda d: sorted((r.step, r.node, r.n, r.k) for r in d.collect())
     assert key(cells) == key(percolation.participation(hit, nodes))
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), None])
+def test_outliers_count_finite_numbers_only(spark, odd):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 4.0), ("e", 100.0), ("f", odd)], "subject string, final_attacks double")
+    for method, options in (("iqr", {}), ("zscore", {"z_thresh": 1.0})):
+        assert {r.subject for r in consensus.outliers(df, method, **options).where("excluded").collect()} == {"e"}
+
+
+def test_all_nodes_of_a_graph_with_one_cluster_are_critical(spark):
+    cells = spark.createDataFrame([("g", s, n, 0.5) for s in range(1, 6) for n in range(2)], "graph_id string, step int, node int, p double")
+    assert sorted((r.node, r.is_critical) for r in clustering.critical_nodes(cells).collect()) == [(0, True), (1, True)]
