@@ -18,7 +18,7 @@ import numpy as np
 
 from netfell.llm.workers import kept, trim
 
-#: Bytes of parts and their ids kept per Python worker, counting PART_BYTES for each part's objects and its place in the
+#: Bytes of parts and their ids kept per Python worker where the caller names no other bound, counting PART_BYTES for each part's objects and its place in the
 #: table; beyond it the table starts anew. A part of more than KEPT_CHARS characters is not kept.
 KEPT_BYTES, PART_BYTES, KEPT_CHARS = 112 << 20, 200, 256
 
@@ -59,7 +59,8 @@ class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned ``dtype`` bytes, as encode(text,
     add_special_tokens=False) of the whole text would, with the special tokens' strings as ordinary text."""
 
-    def __init__(self, vocabulary: str, dtype: str = "<u2"):
+    def __init__(self, vocabulary: str, dtype: str = "<u2", most: int | None = None):
+        self.most = most or KEPT_BYTES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,7 +82,7 @@ class PieceEncoder:
         return self._encode(texts)
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.held > KEPT_BYTES:
+        if self.held > self.most:
             self.known, self.held = {}, 0
             trim()
         split, get, learn = self._split_lower if self.lower else self._split_spaced, self.known.get, set()
@@ -155,6 +156,6 @@ class PieceEncoder:
         return zip(pieces, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False)
 
 
-def encoder(vocabulary: str, dtype: str = "<u2") -> PieceEncoder:
-    """This worker's encoder, kept until the worker runs another operator."""
-    return kept(("piececache", vocabulary, dtype), lambda: PieceEncoder(vocabulary, dtype))
+def encoder(vocabulary: str, dtype: str = "<u2", most: int | None = None) -> PieceEncoder:
+    """This worker's encoder, with ``most`` bytes of parts, kept until the worker runs another operator."""
+    return kept(("piececache", vocabulary, dtype, most), lambda: PieceEncoder(vocabulary, dtype, most))

@@ -66,11 +66,15 @@ def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [d if k else None for d, k in zip(ids.tolist(), known, strict=True)], counts.astype(np.int64), ranks
 
 
+#: Bytes of encoded parts that a worker keeps; no other operator runs beside this one.
+KEPT_BYTES = 320 << 20
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, bounds: list[int]) -> DataFrame:
     """doc_id, shard (by the bounds), n and ids (little-endian unsigned 16-bit) of every whole text; null is empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(vocabulary), np.array([end_id], "<u2").tobytes()
+        own, end = encoder(vocabulary, most=KEPT_BYTES), np.array([end_id], "<u2").tobytes()
         for batch in slices(batches, 1):
             ids = [x + end for x in own.encode(batch.column(1).to_pylist())]
             numbers = batch.column(0).to_pandas()
