@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import slices
-from netfell.llm.piececache import encoder
+from netfell.llm.piececache import TEXT_BYTES, encoder
 from netfell.llm.workers import fresh
 from netfell.scratch import Scratch
 
@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, task = encoder(vocabulary), np.array([end_id], "<u2").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, TEXT_BYTES):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "rank")}
             for doc_id, raw in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(raw + end, "<u2").astype("<u4")

@@ -15,13 +15,19 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from netfell.llm.arrow import buffer
 from netfell.llm.workers import kept, trim
 
 #: Bytes of parts and their ids kept per Python worker where the caller names no other bound, counting PART_BYTES for each part's objects and its place in the
 #: table; beyond it the table starts anew. A part of more than KEPT_CHARS characters is not kept.
 KEPT_BYTES, PART_BYTES, KEPT_CHARS = 112 << 20, 200, 256
 
+#: Bytes of text to hand to encode() at a time: the more, the fewer times a part is looked up.
+TEXT_BYTES = 12 << 20
+
 #: Longer texts are encoded a segment at a time.
 SEGMENT = 1 << 20
 
@@ -77,44 +83,64 @@ class PieceEncoder:
         self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if any(t and len(t) > SEGMENT for t in texts):
-            return [b"".join(self._encode([piece])[0] for piece in _segments(t)) if t else b"" for t in texts]
-        return self._encode(texts)
+        long = [i for i, t in enumerate(texts) if t and len(t) > SEGMENT]
+        out = self._encode([None if t and len(t) > SEGMENT else t for t in texts] if long else texts)
+        for i in long:
+            out[i] = b"".join(self._encode([piece])[0] for piece in _segments(texts[i]))
+        return out
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         if self.held > self.most:
             self.known, self.held = {}, 0
             trim()
-        split, get, learn = self._split_lower if self.lower else self._split_spaced, self.known.get, set()
-        parts = [split(t) if t else [] for t in texts]
-        found = [list(map(get, own)) for own in parts]
-        short = [None in own for own in found]
-        for own, got, some in zip(parts, found, short, strict=True):
-            if some:
-                learn.update([p for p, ids in zip(own, got, strict=True) if ids is None])
-        if learn:
-            self._learn(list(learn))
-        out = [b"".join(map(get, own) if some else got) for own, got, some in zip(parts, found, short, strict=True)]
-        for p in learn:
+        uneven = {i: self._split_uneven(t) for i, t in enumerate(texts) if t and not self.lower and self._uneven(t)}
+        regular = [i for i, t in enumerate(texts) if t and i not in uneven]
+        parts, places, ends = self._distinct_parts([texts[i] for i in regular])
+        fresh = {p for p in chain(parts, *uneven.values()) if p not in self.known}
+        if fresh:
+            self._learn(list(fresh))
+        get, out = self.known.__getitem__, [b""] * len(texts)
+        if regular:
+            joined = pa.array(map(get, parts), pa.binary()).take(places)
+            raw, starts = buffer(joined)
+            raw, cuts = raw.tobytes(), starts[ends].tolist()
+            for i, start, end in zip(regular, [0, *cuts], cuts, strict=False):
+                out[i] = raw[start:end]
+        for i, own in uneven.items():
+            out[i] = b"".join(map(get, own))
+        for p in fresh:
             if len(p) > KEPT_CHARS:
                 del self.known[p]
             else:
                 self.held += PART_BYTES + len(p)
         return out
 
+    def _distinct_parts(self, texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+        """The parts of even texts, each once but for those that begin a text, where every place's part is among them,
+        and how many places there are up to the end of each text. A first part is marked by a blank where the others
+        go without the blank before them."""
+        blanks = pc.replace_substring(pa.array(texts, pa.string()), "\n", " " if self.lower else " \n")
+        split = pc.split_pattern(blanks, " ")
+        coded, starts = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        parts, places = coded.dictionary.to_pylist(), coded.indices
+        if not self.lower and texts:
+            own = places.to_numpy().copy()
+            first = own[starts[:-1]]
+            own[starts[:-1]] = len(parts) + np.arange(len(texts))
+            parts += [f" {parts[i]}" for i in first.tolist()]
+            places = pa.array(own)
+        return parts, places, starts[1:]
+
     @staticmethod
-    def _split_lower(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def _uneven(text: str) -> bool:
+        """Whether blanks stand elsewhere than singly between other characters."""
+        return text[0].isspace() or text[-1].isspace() or _TWO_BLANKS.search(text) is not None
 
     @staticmethod
-    def _split_spaced(text: str) -> list[str]:
+    def _split_uneven(text: str) -> list[str]:
         """Parts, without the blank before each but the first. The first is marked by a blank, which no other has."""
-        if _TWO_BLANKS.search(text) or text[0].isspace() or text[-1].isspace():
-            first, *rest = _BEFORE_BLANK.split(text)
-            return [f" {first}", *[p[1:] if p[0] == " " else p for p in rest]]
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = f" {parts[0]}"
-        return parts
+        first, *rest = _BEFORE_BLANK.split(text)
+        return [f" {first}", *[p[1:] if p[0] == " " else p for p in rest]]
 
     def _literal(self, part: str) -> str:
         if self.lower or part[0] == "\n":

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import slices
-from netfell.llm.piececache import encoder
+from netfell.llm.piececache import TEXT_BYTES, encoder
 from netfell.scratch import Scratch
 
 MAGIC = b"RVB1"
@@ -75,7 +75,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, bounds: list
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(vocabulary, most=KEPT_BYTES), np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, TEXT_BYTES):
             ids = [x + end for x in own.encode(batch.column(1).to_pylist())]
             numbers = batch.column(0).to_pandas()
             shard = np.where(numbers.isna(), 0, np.searchsorted(bounds, numbers.fillna(0).astype(np.int64), side="right"))
