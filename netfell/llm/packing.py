@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netfell.llm.arrow import slices
-from netfell.llm.piececache import TEXT_BYTES, encoder
+from netfell.llm.piececache import encoder
 from netfell.llm.workers import fresh
 from netfell.scratch import Scratch
 
 SIZE = 1024
+#: Bytes of text encoded at a time; the pipeline's executors hold what earlier stages left.
+TEXT_BYTES = 4 << 20
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = SIZE) -> DataFrame:

@@ -25,8 +25,10 @@ from netfell.llm.workers import kept, trim
 #: table; beyond it the table starts anew. A part of more than KEPT_CHARS characters is not kept.
 KEPT_BYTES, PART_BYTES, KEPT_CHARS = 112 << 20, 200, 256
 
-#: Bytes of text to hand to encode() at a time: the more, the fewer times a part is looked up.
+#: Bytes of text to hand to encode() at a time, where memory allows: the more, the fewer times a part is looked up.
 TEXT_BYTES = 12 << 20
+#: New parts that are encoded at a time; the library's answers take many times the room of the ids.
+LEARN_PARTS = 1 << 15
 
 #: Longer texts are encoded a segment at a time.
 SEGMENT = 1 << 20
@@ -96,9 +98,9 @@ class PieceEncoder:
         uneven = {i: self._split_uneven(t) for i, t in enumerate(texts) if t and not self.lower and self._uneven(t)}
         regular = [i for i, t in enumerate(texts) if t and i not in uneven]
         parts, places, ends = self._distinct_parts([texts[i] for i in regular])
-        fresh = {p for p in chain(parts, *uneven.values()) if p not in self.known}
-        if fresh:
-            self._learn(list(fresh))
+        fresh = list({p for p in chain(parts, *uneven.values()) if p not in self.known})
+        for at in range(0, len(fresh), LEARN_PARTS):
+            self._learn(fresh[at : at + LEARN_PARTS])
         get, out = self.known.__getitem__, [b""] * len(texts)
         if regular:
             joined = pa.array(map(get, parts), pa.binary()).take(places)
