@@ -48,3 +48,13 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def drop_all_but(self, name: str) -> None:
+        """Delete the job's tables but one, which does not hang on the others."""
+        jvm = self.spark._jvm
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(conf)
+        for found in files.listStatus(root):
+            if found.getPath().getName() != name:
+                files.delete(found.getPath(), True)
