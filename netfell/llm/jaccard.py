@@ -369,7 +369,9 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     least_id = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
     merged = scratch.write(labels.join(least_id, "component").select("node", "least_id"), "merged")
     out = made.select("doc_id", "n_shingles", "node", "first_id").join(merged, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least_id", "first_id").alias("component_id"))
+    linked = scratch.write(out.select("doc_id", "n_shingles", F.coalesce("least_id", "first_id").alias("component_id")), "linked")
+    scratch.drop_all_but("linked")
+    return linked
 
 
 def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
