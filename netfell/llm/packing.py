@@ -28,7 +28,7 @@ from netfell.scratch import Scratch
 
 SIZE = 1024
 #: Bytes of text encoded at a time; the pipeline's executors hold what earlier stages left.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = SIZE) -> DataFrame:

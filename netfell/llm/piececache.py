@@ -8,6 +8,7 @@ unchanged tokenizer.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -22,7 +23,7 @@ from netfell.llm.arrow import buffer
 from netfell.llm.workers import kept, trim
 
 #: Bytes of parts and their ids kept per Python worker where the caller names no other bound, counting PART_BYTES for each part's objects and its place in the
-#: table; beyond it the table starts anew. A part of more than KEPT_CHARS characters is not kept.
+#: table; beyond it only parts that came again in the latest texts stay. A part of more than KEPT_CHARS characters is not kept.
 KEPT_BYTES, PART_BYTES, KEPT_CHARS = 112 << 20, 200, 256
 
 #: Bytes of text to hand to encode() at a time, where memory allows: the more, the fewer times a part is looked up.
@@ -85,6 +86,16 @@ class PieceEncoder:
         self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Nothing here makes cycles, so Python need not look for them among millions of parts."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None]) -> list[bytes]:
         long = [i for i, t in enumerate(texts) if t and len(t) > SEGMENT]
         out = self._encode([None if t and len(t) > SEGMENT else t for t in texts] if long else texts)
         for i in long:
@@ -92,9 +103,6 @@ class PieceEncoder:
         return out
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.held > self.most:
-            self.known, self.held = {}, 0
-            trim()
         uneven = {i: self._split_uneven(t) for i, t in enumerate(texts) if t and not self.lower and self._uneven(t)}
         regular = [i for i, t in enumerate(texts) if t and i not in uneven]
         parts, places, ends = self._distinct_parts([texts[i] for i in regular])
@@ -115,8 +123,17 @@ class PieceEncoder:
                 del self.known[p]
             else:
                 self.held += PART_BYTES + len(p)
+        if self.held > self.most:
+            self._keep(set(chain(parts, *uneven.values())).difference(fresh))
         return out
 
+    def _keep(self, parts: set[str]) -> None:
+        """Forget all but these parts, or if they are too many as well, all."""
+        if (held := sum(map(len, parts)) + PART_BYTES * len(parts)) > self.most // 2:
+            parts, held = set(), 0
+        self.known, self.held = {p: self.known[p] for p in parts}, held
+        trim()
+
     def _distinct_parts(self, texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
         """The parts of even texts, each once but for those that begin a text, where every place's part is among them,
         and how many places there are up to the end of each text. A first part is marked by a blank where the others

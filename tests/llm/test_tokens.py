@@ -43,6 +43,19 @@ def test_parts_give_the_whole_texts_ids(path, monkeypatch):
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == whole(path)(texts)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("most", [1, 4000, 40_000])
+def test_a_full_table_forgets_but_still_encodes(path, most):
+    own, texts = PieceEncoder(path, most=most), [r[1] for r in odd_rows()] + ODD
+    want = whole(path)(texts)
+    for _ in range(2):
+        for at in range(0, len(texts), 7):
+            got = own.encode(texts[at : at + 7])
+            assert [np.frombuffer(g, "<u2").tolist() for g in got] == want[at : at + 7]
+            assert own.held <= most
+            assert own.held == sum(piececache.PART_BYTES + len(p) for p in own.known)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aZé '.\n\t1漢́\u00a0"), max_size=30), min_size=1, max_size=4))
 def test_any_text(texts):
